@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm.shared import read_table
+from quillon.llm.packing import pack_documents
+from quillon.llm.shared import read_table, scratch_dir
+from quillon.llm.token_files import read_tokens, write_tokens
 from quillon.llm.url_rules import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,12 +25,26 @@ URL_RULES = [
 ]
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_dir(spark)}/quillon/token-files-{uuid.uuid4().hex}"
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_tokens(spark, path)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+QUERIES["op2_token_files"] = op2_token_files
+QUERIES["op4_packing"] = op4_packing
 QUERIES["op10_url_filter"] = op10_url_filter
 ORACLES["op10_url_filter"] = r"""
 WITH rules(rh, rp, rv) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'),
