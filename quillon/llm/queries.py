@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.fingerprint import compare_with_next
 from quillon.llm.packing import pack_documents
+from quillon.llm.secrets import scan_secrets
 from quillon.llm.shared import read_table, scratch_dir
 from quillon.llm.token_files import read_tokens, write_tokens
 from quillon.llm.url_rules import judge_urls
@@ -26,6 +27,11 @@ URL_RULES = [
 ]
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/quillon/token-files-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -48,6 +54,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+QUERIES["op1_secrets"] = op1_secrets
 QUERIES["op2_token_files"] = op2_token_files
 QUERIES["op3_fingerprints"] = op3_fingerprints
 QUERIES["op4_packing"] = op4_packing
