@@ -4,28 +4,59 @@ A public tokenizer splits text into pieces before it merges bytes, and no piece
 reaches back over a lone space. So a text may be cut there, each distinct piece
 encoded once by the library, and the ids of a text put together from the
 pieces' ids: the same ids as for the whole text, for a fraction of the merges.
+Plain words go straight to the library's model, marks after a word never merge
+with it, and everything else goes through the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
 
-#: Pieces kept by a worker before its memory starts anew (about 200 MB).
-MEMORY = 1_000_000
+#: Pieces kept by a worker before its memory starts anew (about 230 bytes each).
+MEMORY = 1_500_000
 #: A space with any white space before it may share a piece with it.
 GLUED = re.compile(r"\s ")
-#: Letters of Latin-1, then marks without the apostrophe that contractions start with.
-WORD_AND_MARKS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([,.!?%$#&*:;)|]+)")
-CUT = re.compile(r"(?<=\S)(?= )")
-#: Stands between pieces that are encoded together, so many at a time.
-MARK, RUN = "~", 2_000
+CUT = re.compile(r"(?<=\S) ")
+#: Letters of Latin-1 (all composed already), then marks without the apostrophe that contractions start with.
+WORD = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+WORD_AND_MARKS = re.compile(f"({WORD})([,.!?%$#&*:;)|]*)")
 
 _loaded: dict[str, Encoder] = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on, in order."""
+    plain = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+    other = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(other)) for b in range(256)}
+
+
+class Pieces(dict):
+    """Ids of pieces that follow a lone space, by the piece without that space; what is missing is encoded when asked for."""
+
+    def __init__(self, owner: Encoder):
+        super().__init__()
+        self.owner, self.marks = owner, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        own = self.owner
+        found = WORD_AND_MARKS.fullmatch(piece) if own.direct else None
+        if found is None:
+            ids = own.whole(" " + piece)
+        elif marks := found[2]:
+            if marks not in self.marks:
+                self.marks[marks] = own.whole(marks)
+            ids = self[found[1]] + self.marks[marks]
+        else:
+            ids = own.word(piece)
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Encodes texts to little-endian uint32 ids with the tokenizers library, add_special_tokens=False."""
 
@@ -33,54 +64,41 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memory, self.known = Tokenizer.from_file(file), memory, {}
-        ids = self.tokenizer.encode(f" {MARK}", add_special_tokens=False).ids
-        self.mark = ids[0] if len(ids) == 1 else None
+        self.tokenizer, self.memory = Tokenizer.from_file(file), memory
+        self.model, self.known = self.tokenizer.model, Pieces(self)
+        setup = json.loads(self.tokenizer.to_str())
+        said = json.dumps([setup["normalizer"], setup["pre_tokenizer"]])
+        self.lower = "Lowercase" in said
+        self.space = "" if "Removed" in said else " "
+        letters = byte_letters()
+        self.table = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
+        # Words may skip the outer steps only if the two ways agree on samples of all their letters.
+        samples = ["Hello", "ÀÈÏõù", "naïveté", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", *map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])]
+        self.direct = all(self.word(w) == self.whole(self.space + w) for w in samples)
+
+    def word(self, word: str) -> bytes:
+        """Ids of a word of WORD after a lone space."""
+        own = (self.space + (word.lower() if self.lower else word)).translate(self.table)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(own)])
+
+    def whole(self, text: str) -> bytes:
+        """Ids of a text by the library's whole way."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        if GLUED.search(text):
-            return CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def learn(self, fresh: list[str]) -> None:
-        """Encode new pieces; a word and the marks after it never merge, so a known word serves with any marks."""
-        ended = {p: m.groups() for p in fresh if (m := WORD_AND_MARKS.fullmatch(p))}
-        parts = {p for p in fresh if p not in ended}.union(*ended.values())
-        self.encode_parts([p for p in parts if p not in self.known])
-        for p, (word, marks) in ended.items():
-            self.known[p] = self.known[word] + self.known[marks]
-
-    def encode_parts(self, fresh: list[str]) -> None:
-        """Those that stand between lone spaces go many at a time, told apart by the marker's id."""
-        mark, known = self.mark, self.known
-        joined, single = [], []
-        for p in fresh:
-            fit = mark is not None and len(p) > 1 and p[0] == " " and MARK not in p and not p[-1].isspace() and "<|" not in p
-            (joined if fit else single).append(p)
-        runs = [joined[i : i + RUN] for i in range(0, len(joined), RUN)]
-        texts = [f" {MARK}".join(run) for run in runs]
-        for run, found in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            ends = np.flatnonzero(ids == mark)
-            if len(ends) != len(run) - 1:
-                single += run
-                continue
-            raw, cuts = ids.tobytes(), [-4, *(4 * ends).tolist(), 4 * len(ids)]
-            for k, p in enumerate(run):
-                known[p] = raw[cuts[k] + 4 : cuts[k + 1]]
-        for p, found in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False), strict=True):
-            known[p] = np.array(found.ids, "<u4").tobytes()
+        """The first piece, then those after a lone space."""
+        return CUT.split(text) if GLUED.search(text) else text.split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes; null is an empty text."""
         if len(self.known) > self.memory:
-            self.known.clear()
-        known, cut = self.known, [self.cut(x) if x else [] for x in texts]
-        if fresh := list({p for pieces in cut for p in pieces if p not in known}):
-            self.learn(fresh)
-        return [b"".join([known[p] for p in pieces]) for pieces in cut]
+            self.known = Pieces(self)
+        get, out = self.known.__getitem__, []
+        for text in texts:
+            pieces = self.cut(text or "")
+            out.append(self.whole(pieces[0]) + b"".join(map(get, pieces[1:])))
+        return out
 
 
 def encoder(file: str) -> Encoder:
