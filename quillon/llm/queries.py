@@ -12,6 +12,7 @@ from quillon.llm.fingerprint import compare_with_next
 from quillon.llm.packing import pack_documents
 from quillon.llm.secrets import scan_secrets
 from quillon.llm.shared import read_table, scratch_dir
+from quillon.llm.simhash import near_duplicates
 from quillon.llm.token_files import read_tokens, write_tokens
 from quillon.llm.url_rules import judge_urls
 
@@ -48,6 +49,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
@@ -58,6 +63,7 @@ QUERIES["op1_secrets"] = op1_secrets
 QUERIES["op2_token_files"] = op2_token_files
 QUERIES["op3_fingerprints"] = op3_fingerprints
 QUERIES["op4_packing"] = op4_packing
+QUERIES["op5_simhash"] = op5_simhash
 QUERIES["op10_url_filter"] = op10_url_filter
 ORACLES["op10_url_filter"] = r"""
 WITH rules(rh, rp, rv) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'),
