@@ -8,6 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.llm.embedding_dedup import near_vectors
 from quillon.llm.fingerprint import compare_with_next
 from quillon.llm.packing import pack_documents
 from quillon.llm.secrets import scan_secrets
@@ -53,6 +54,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
@@ -64,6 +69,7 @@ QUERIES["op2_token_files"] = op2_token_files
 QUERIES["op3_fingerprints"] = op3_fingerprints
 QUERIES["op4_packing"] = op4_packing
 QUERIES["op5_simhash"] = op5_simhash
+QUERIES["op8_embeddings"] = op8_embeddings
 QUERIES["op10_url_filter"] = op10_url_filter
 ORACLES["op10_url_filter"] = r"""
 WITH rules(rh, rp, rv) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'),
