@@ -14,6 +14,7 @@ from quillon.llm.packing import pack_documents
 from quillon.llm.secrets import scan_secrets
 from quillon.llm.shared import read_table, scratch_dir
 from quillon.llm.simhash import near_duplicates
+from quillon.llm.substring_dedup import remove_repeats
 from quillon.llm.token_files import read_tokens, write_tokens
 from quillon.llm.url_rules import judge_urls
 
@@ -58,6 +59,10 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
@@ -70,6 +75,7 @@ QUERIES["op3_fingerprints"] = op3_fingerprints
 QUERIES["op4_packing"] = op4_packing
 QUERIES["op5_simhash"] = op5_simhash
 QUERIES["op8_embeddings"] = op8_embeddings
+QUERIES["op9_substrings"] = op9_substrings
 QUERIES["op10_url_filter"] = op10_url_filter
 ORACLES["op10_url_filter"] = r"""
 WITH rules(rh, rp, rv) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'),
