@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm.embedding_dedup import near_vectors
 from quillon.llm.fingerprint import compare_with_next
 from quillon.llm.packing import pack_documents
+from quillon.llm.quality import classify
 from quillon.llm.secrets import scan_secrets
 from quillon.llm.shared import read_table, scratch_dir
 from quillon.llm.simhash import near_duplicates
@@ -55,6 +56,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read_table(spark, sf_dir, "labels")
+    return classify(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), labels)
+
+
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
@@ -74,6 +80,7 @@ QUERIES["op2_token_files"] = op2_token_files
 QUERIES["op3_fingerprints"] = op3_fingerprints
 QUERIES["op4_packing"] = op4_packing
 QUERIES["op5_simhash"] = op5_simhash
+QUERIES["op6_quality"] = op6_quality
 QUERIES["op8_embeddings"] = op8_embeddings
 QUERIES["op9_substrings"] = op9_substrings
 QUERIES["op10_url_filter"] = op10_url_filter
