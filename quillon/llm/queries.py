@@ -5,11 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.embedding_dedup import near_vectors
 from quillon.llm.fingerprint import compare_with_next
+from quillon.llm.mixing import mix
 from quillon.llm.packing import pack_documents
 from quillon.llm.quality import classify
 from quillon.llm.secrets import scan_secrets
@@ -61,6 +63,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), labels)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    mixed = mix(docs, read_table(spark, sf_dir, "labels"), {"clean": 0.9, "junk": 0.05, "toxic": 0.05})
+    return mixed.select("doc_id", "source", "n_tokens", "p_clean", "p_junk", "p_toxic", "rate")
+
+
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
@@ -81,6 +89,7 @@ QUERIES["op3_fingerprints"] = op3_fingerprints
 QUERIES["op4_packing"] = op4_packing
 QUERIES["op5_simhash"] = op5_simhash
 QUERIES["op6_quality"] = op6_quality
+QUERIES["op7_mixing"] = op7_mixing
 QUERIES["op8_embeddings"] = op8_embeddings
 QUERIES["op9_substrings"] = op9_substrings
 QUERIES["op10_url_filter"] = op10_url_filter
@@ -97,3 +106,12 @@ met AS (SELECT p.*, r.* FROM parts p LEFT JOIN rules r
 SELECT page_id, host, path, rh || rp AS rule, coalesce(rv, 'allow') AS verdict FROM met
 QUALIFY row_number() OVER (PARTITION BY k ORDER BY length(rh) + length(rp) DESC NULLS LAST) = 1
 """
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
