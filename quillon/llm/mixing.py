@@ -24,13 +24,13 @@ from quillon.llm.shared import stash
 #: The labels that a classifier is fitted on are all, or a share by hash so that about so many are left.
 TRAINING_ROWS = 20_000
 #: Words that tell domains apart, the least slots of the table that holds them, and the documents a word must be in.
-VOCABULARY, SLOTS, FEWEST = 256, 1 << 14, 4
+VOCABULARY, SLOTS, FEWEST = 256, 1 << 12, 4
 #: What a mark must tell, in nats, beyond the logarithm of how many marks there are: few tell so much by chance.
 SURE = 2.0
 #: What stands between words.
 MARKS = r"[\x00-/:-@\[-`{-~]+"
 #: Most gradient steps, and the relative distance from each target that is near enough.
-STEPS, NEAR = 60, 1e-4
+STEPS, NEAR = 60, 1e-3
 DOMAINS = ("clean", "junk", "toxic")
 CAPITALS, SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "!%$#&*|"
 SHAPES = 27
@@ -102,7 +102,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> dict:
         return {"langs": [None], "prior": [[0.0] * len(DOMAINS)], "shapes": [[[0.0] * len(DOMAINS)] * SHAPES], "words": {}}
     langs = [None, *sorted((x for x, t in totals.items() if x is not None and min(t[d] for d in DOMAINS) >= FEWEST), key=lambda x: (-sum(totals[x].values()), x))[:LANGUAGES]]
     count = sum((F.col(d) for d in DOMAINS), F.lit(0))
-    each = taught.select("_domain", F.explode("_marks").alias("h")).groupBy("h").agg(*[F.sum((F.col("_domain") == d).cast("long")).alias(d) for d in DOMAINS])
+    by_lang = taught.select("_lang", "_domain", F.explode("_marks").alias("h")).groupBy("_lang", "h")
+    by_lang = stash(by_lang.agg(*[F.sum((F.col("_domain") == d).cast("long")).alias(d) for d in DOMAINS]), "marks")
+    each = by_lang.groupBy("h").agg(*[F.sum(d).alias(d) for d in DOMAINS])
     share = {d: (F.col(d) + 0.5) / (totals[None][d] + 1.0) for d in DOMAINS}
     # How much the mark tells in all: observed times log of observed over expected, where it tells enough at all.
     tells = sum((F.col(d) * F.log(share[d] / (count / every)) for d in DOMAINS), F.lit(0.0))
@@ -111,10 +113,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> dict:
     best = each.where(clear & (tells > SURE + math.log(max(1, each.count())))).where("h <> 0").orderBy(F.desc(tells), "h").limit(VOCABULARY).collect()
     df = {(None, r["h"]): [r[d] for d in DOMAINS] for r in best}
     if best and len(langs) > 1:
-        known = taught.where(F.col("_lang").isin(langs[1:])).select("_lang", "_domain", F.explode("_marks").alias("h"))
         chosen = docs.sparkSession.createDataFrame([(r["h"],) for r in best], "h long")
-        by_lang = known.join(F.broadcast(chosen), "h").groupBy("_lang", "h").agg(*[F.sum((F.col("_domain") == d).cast("long")).alias(d) for d in DOMAINS])
-        df |= {(r["_lang"], r["h"]): [r[d] for d in DOMAINS] for r in by_lang.collect()}  # at most LANGUAGES * VOCABULARY
+        rows = by_lang.where(F.col("_lang").isin(langs[1:])).join(F.broadcast(chosen), "h")  # VOCABULARY rows
+        df |= {(r["_lang"], r["h"]): [r[d] for d in DOMAINS] for r in rows.collect()}  # at most LANGUAGES * VOCABULARY
     model: dict = {"langs": langs, "prior": [], "shapes": [], "words": {r["h"]: [] for r in best}}
     for own in langs:
         have = [totals[own][d] for d in DOMAINS]
@@ -203,23 +204,24 @@ def fit_rates(known: DataFrame, targets: dict[str, float], steps: int = STEPS) -
         row = known.agg(*[F.sum(n * F.col(f"p_{d}") * rate_of(history)).alias(d) for d in DOMAINS]).first()
         off = np.array([row[d] or 0.0 for d in DOMAINS]) - want
         loss = float((off * off * scale).sum())
-        if np.abs(off[scale > 0]).max() <= NEAR * size or (was is not None and was - loss <= NEAR * NEAR * was):
+        if np.abs(off[scale > 0]).max() <= NEAR * size or (was is not None and was - loss <= NEAR * was):
             break  # there, or as near as nonnegative rates get
         was = loss
         history.append((off * scale / largest).tolist())
     return history
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None) -> DataFrame:
-    """docs with n_tokens, p_clean, p_junk, p_toxic and rate; every row stays.
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, with_text: bool = True, steps: int = STEPS) -> DataFrame:
+    """docs with n_tokens, p_clean, p_junk, p_toxic and rate; every row stays. Without text the scan is not repeated.
 
     targets: weight of each domain (they need not add up to 1); ``total``
     tokens are wanted in all, those of docs where not given. Without targets
     the clean domain keeps its tokens and the others should have none. Null
     texts have no tokens; repeated rows get the same rate; no rows give none.
     """
+    docs = docs.drop("rate")
     model = fit(docs, labels)
-    known = stash(posteriors(docs.select("text", *(["lang"] if "lang" in docs.columns else [])), model).select("n_tokens", *[f"p_{d}" for d in DOMAINS]), "posteriors")
+    known = stash(posteriors(docs, model).drop("text"), "posteriors")
     sums = known.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]).first()
     have = {d: sums[d] or 0.0 for d in DOMAINS}
     if targets is None:
@@ -227,9 +229,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     else:
         weight = sum(targets.values()) or 1.0
         want = {d: targets.get(d, 0.0) / weight * (sum(have.values()) if total is None else total) for d in DOMAINS}
-    history = fit_rates(known, want)
-    keep = [c for c in docs.columns if c != "rate"]
-    return posteriors(docs.select(*keep), model).withColumn("rate", rate_of(history))
+    history = fit_rates(known, want, steps)
+    if not with_text:
+        return known.withColumn("rate", rate_of(history))
+    return posteriors(docs, model).withColumn("rate", rate_of(history))
 
 
 def draw(mixed: DataFrame, nearest: bool = False) -> DataFrame:

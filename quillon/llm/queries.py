@@ -65,7 +65,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    mixed = mix(docs, read_table(spark, sf_dir, "labels"), {"clean": 0.9, "junk": 0.05, "toxic": 0.05})
+    mixed = mix(docs, read_table(spark, sf_dir, "labels"), {"clean": 0.9, "junk": 0.05, "toxic": 0.05}, with_text=False)
     return mixed.select("doc_id", "source", "n_tokens", "p_clean", "p_junk", "p_toxic", "rate")
 
 
