@@ -57,7 +57,7 @@ def described(docs: DataFrame) -> DataFrame:
     without = lambda chars: F.length(F.translate(t, chars, ""))
     out = docs.withColumns(
         {
-            "n_tokens": F.when(t == "", 0).otherwise(F.length(t) - without(" ") + 1).cast("long"),
+            "n_tokens": F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long"),
             "_upper": 1 - without(CAPITALS) / n,
             "_symbols": 1 - without(SYMBOLS) / n,
             "_words": F.array_distinct(F.split(F.lower(t), MARKS)),
@@ -66,12 +66,11 @@ def described(docs: DataFrame) -> DataFrame:
     step = lambda x, low, high: F.when(x > high, 2).when(x > low, 1).otherwise(0)
     fresh = F.size("_words") / F.greatest(F.col("n_tokens"), F.lit(1))
     shape = step(F.col("_upper"), 0.08, 0.3) * 9 + step(F.col("_symbols"), 0.005, 0.03) * 3 + step(fresh, 0.15, 0.35)
-
-    def stems(n: int) -> Column:
-        return F.transform(F.array_distinct(F.transform("_words", lambda w: F.left(w, F.lit(n)))), lambda w: F.xxhash64(F.lit(n), w))
-
-    hashes = F.concat(F.transform("_words", lambda w: F.xxhash64(w)), *map(stems, STEMS))
-    return out.withColumns({"_shape": shape, "_marks": hashes}).drop("_upper", "_symbols", "_words")
+    cut = lambda words, n: F.array_distinct(F.transform(words, lambda w: F.left(w, F.lit(n))))
+    marked = lambda words, n: F.transform(words, lambda w: F.xxhash64(F.lit(n), w))
+    out = out.withColumn("_long", cut("_words", STEMS[1]))
+    hashes = F.concat(F.transform("_words", lambda w: F.xxhash64(w)), marked(cut("_long", STEMS[0]), STEMS[0]), marked("_long", STEMS[1]))
+    return out.withColumns({"_shape": shape, "_marks": hashes}).drop("_upper", "_symbols", "_words", "_long")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> dict:
@@ -212,7 +211,7 @@ def fit_rates(known: DataFrame, targets: dict[str, float], steps: int = STEPS) -
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, with_text: bool = True, steps: int = STEPS) -> DataFrame:
-    """docs with n_tokens, p_clean, p_junk, p_toxic and rate; every row stays. Without text the scan is not repeated.
+    """docs with n_tokens, p_clean, p_junk, p_toxic and rate; every row stays. Texts are scanned once.
 
     targets: weight of each domain (they need not add up to 1); ``total``
     tokens are wanted in all, those of docs where not given. Without targets
@@ -221,7 +220,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     """
     docs = docs.drop("rate")
     model = fit(docs, labels)
-    known = stash(posteriors(docs, model).drop("text"), "posteriors")
+    # Stored once, with the text where it is asked for: later steps read the short columns alone.
+    told = posteriors(docs, model)
+    known = stash(told if with_text else told.drop("text"), "posteriors")
     sums = known.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]).first()
     have = {d: sums[d] or 0.0 for d in DOMAINS}
     if targets is None:
@@ -230,9 +231,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
         weight = sum(targets.values()) or 1.0
         want = {d: targets.get(d, 0.0) / weight * (sum(have.values()) if total is None else total) for d in DOMAINS}
     history = fit_rates(known, want, steps)
-    if not with_text:
-        return known.withColumn("rate", rate_of(history))
-    return posteriors(docs, model).withColumn("rate", rate_of(history))
+    return known.withColumn("rate", rate_of(history))
 
 
 def draw(mixed: DataFrame, nearest: bool = False) -> DataFrame:
