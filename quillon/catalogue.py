@@ -274,3 +274,20 @@ op("resolved_edges", lambda s, d: graph.resolved(*_kg(s, d)), f"SELECT s AS src_
 op("typed_entity_view", lambda s, d: graph.typed_view(_kg(s, d)[0], "customer", {"c_mktsegment": "string", "c_nationkey": "int"}), "SELECT 'customer:' || c_custkey AS node_id, c_name AS name, c_mktsegment, c_nationkey FROM customer")
 op("pagerank_topn", lambda s, d: graph.pagerank(*_kg(s, d), 10, steps=10))
 op("hierarchy_path", lambda s, d: graph.hierarchy_path(*_kg(s, d), "Customer#000000007", "World"), f"WITH RECURSIVE w(id, step) AS (SELECT id, 0 FROM {_NAMES} WHERE nm = 'Customer#000000007' UNION ALL SELECT t, step + 1 FROM w JOIN {_PAIRS} ON s = w.id) SELECT step, w.id AS node_id, nm AS node_name FROM w JOIN {_NAMES} USING (id)")
+
+
+# operations ------------------------------------------------------------------------------
+
+from quillon.governance import ops  # noqa: E402
+
+
+def _read(spark: SparkSession, d: str, t: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{t}.parquet")
+
+
+op("dedup_documents_md5", lambda s, d: ops.dedup_loads(_read(s, d, "documents").select("doc_id", "text"), ["text"], [F.col("doc_id")]).select("doc_id"), "SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5(coalesce(text, ''))")
+op("regr_slope_trend", lambda s, d: ops.slope(_read(s, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("y"), F.month("o_orderdate").cast("double").alias("x")), "y", "x", ["status"]).select("status", F.round("slope", 4).alias("slope")), "SELECT o_orderstatus AS status, round(regr_slope(o_totalprice, CAST(month(o_orderdate) AS DOUBLE)), 4) AS slope FROM orders GROUP BY 1")
+op("overlap_count", lambda s, d: ops.overlap(_read(s, d, "customer").withColumnRenamed("c_custkey", "k"), _read(s, d, "events").select(F.col("user_id").alias("k")), "k", ["c_mktsegment"], 5), "SELECT c_mktsegment, count(DISTINCT c_custkey) AS overlap FROM customer WHERE c_custkey IN (SELECT user_id FROM events) GROUP BY 1 HAVING count(DISTINCT c_custkey) >= 5")
+op("reach_rate", lambda s, d: ops.reach(_read(s, d, "customer").withColumnRenamed("c_custkey", "k"), _read(s, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("k")), "k", ["c_mktsegment"]), "SELECT c_mktsegment, count(DISTINCT c_custkey) AS audience, count(DISTINCT CASE WHEN p THEN c_custkey END) AS reached, round(count(DISTINCT CASE WHEN p THEN c_custkey END) / CAST(count(DISTINCT c_custkey) AS DOUBLE), 6) AS rate FROM (SELECT *, c_custkey IN (SELECT user_id FROM events WHERE event_type = 'purchase') AS p FROM customer) GROUP BY 1")
+op("unloaded_files", lambda s, d: ops.not_loaded(_read(s, d, "customer").select(F.col("c_custkey").alias("path")), _read(s, d, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("path"))), "SELECT c_custkey AS path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
+op("version_compare", lambda s, d: _read(s, d, "part").select("p_partkey", ops.compare_versions(F.concat_ws(".", (F.col("p_size") % 5).cast("string"), F.col("p_size").cast("string")), F.lit("2.10")).alias("c")), "SELECT p_partkey, CASE WHEN p_size % 5 < 2 OR (p_size % 5 = 2 AND p_size < 10) THEN -1 WHEN p_size % 5 > 2 OR p_size > 10 THEN 1 ELSE 0 END AS c FROM part")

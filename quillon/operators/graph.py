@@ -14,6 +14,8 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.lineage import cut
+
 MAX_DESCENDANTS, MAX_ANCESTORS, MAX_PATH, MAX_TRANSITIVE = 15, 20, 20, 5
 
 
@@ -29,7 +31,7 @@ def _walk(start: DataFrame, links: DataFrame, levels: int) -> DataFrame:
     for depth in range(1, levels + 1):
         met = front.join(links, front["id"] == links["at"]).where(~F.array_contains("path", F.col("to")))
         front = met.select(F.col("to").alias("id"), F.lit(depth).alias("depth"), F.concat("path", F.array("to")).alias("path"))
-        front = front.persist()
+        front = cut(front)
         if front.isEmpty():
             break
         out = out.unionByName(front)
@@ -193,17 +195,15 @@ def degree(nodes: DataFrame, edges: DataFrame, n: int, node_type: str | None = N
 def pagerank(nodes: DataFrame, edges: DataFrame, n: int, steps: int = 20, damping: float = 0.85) -> DataFrame:
     """Top n by PageRank over the undirected graph of current edges: one join a step."""
     pairs = current(edges).select("src_id", "dst_id").where("src_id <> dst_id")
-    links = pairs.union(pairs.select("dst_id", "src_id")).distinct().toDF("at", "to").persist()
-    out = links.groupBy("at").agg(F.count("*").alias("out"))
+    links = cut(pairs.union(pairs.select("dst_id", "src_id")).distinct().toDF("at", "to"))
+    out = cut(links.groupBy("at").agg(F.count("*").alias("out")))
     count = nodes.count()
     ranks = nodes.select(F.col("node_id").alias("id"), F.lit(1.0 / max(1, count)).alias("rank"))
-    for step in range(steps):
+    for _ in range(steps):
         sent = links.join(out, "at").join(ranks, F.col("at") == F.col("id")).groupBy("to").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         idle = ranks.join(out, F.col("id") == F.col("at"), "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("idle"))
         ranks = ranks.join(sent, F.col("id") == F.col("to"), "left").crossJoin(F.broadcast(idle)).select("id", ((1 - damping) / count + damping * (F.coalesce("got", F.lit(0.0)) + F.col("idle") / count)).alias("rank"))
-        if step % 5 == 4:
-            ranks = ranks.persist()
-            ranks.count()
+        ranks = cut(ranks)
     named = ranks.join(nodes.select("node_id", "name"), F.col("id") == F.col("node_id"))
     return named.select("node_id", "name", F.round("rank", 6).alias("score")).orderBy(F.desc("score"), "node_id").limit(n)
 
@@ -223,7 +223,8 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, a: str, b: str, levels: in
             found = hit["path"]
             break
         new = front.join(links, front["id"] == links["at"]).select(F.col("to").alias("id"), F.concat("path", F.array("to")).alias("path"))
-        new = new.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti").persist()
+        new = new.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti")
+        new = cut(new)
         seen, front = seen.unionByName(new), new
     rows = list(enumerate(found or []))
     steps = nodes.sparkSession.createDataFrame(rows, "step int, node_id string")
