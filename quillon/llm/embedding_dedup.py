@@ -7,9 +7,15 @@ shared point compares them, so a pair is seen once. The cosine of whole vectors
 in double precision decides. Long lists are dealt out in blocks and all pairs
 of blocks, so no list is one task and none is capped.
 
-The index is approximate by its nature: ``recall`` in the tests holds it above
-0.9 of brute force. Reference points are a bounded sample and only describe;
-every vector is indexed.
+Reference points are a bounded sample, no two of them within the threshold, and
+only describe; every vector is indexed. Where the sample itself is dense (a
+point with CROWD sampled ones within the threshold), points would crowd each
+other out of the permutations. There the search is exact: each such point is a
+centre, a vector within the threshold of one is at home with the nearest, and
+by the triangle bound whatever it links with is within twice the angle, so it
+is at home there or visits. A pair belongs to the lower of its homes; only
+pairs of vectors without a home are left to the permutations, which are
+approximate by nature: ``recall`` in the tests holds the index above 0.9.
 """
 
 from __future__ import annotations
@@ -27,6 +33,8 @@ from quillon.llm.shared import partitions, stash
 NEAREST, SHARED = 5, 2
 #: Reference points: so that a label's lists hold about LIST vectors, within these bounds.
 LIST, FEWEST, MOST = 400, 32, 2048
+#: Points that the references are taken from, and sampled points about one (itself too) that make it a centre.
+SAMPLE, CROWD = 4096, 3
 #: Rows of a list that are compared as one block.
 BLOCK = 512
 
@@ -53,6 +61,38 @@ def nearest(v: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(-(unit(v) @ pivots.T), axis=1, kind="stable")[:, :k].astype("i4")
 
 
+def spread(sample: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Points of the sample (unit rows) in order, none within ``least`` of an earlier one; those of them with a crowd about them."""
+    left, chosen, dense = np.ones(len(sample), bool), [], []
+    for k in range(len(sample)):
+        if left[k]:
+            near = sample @ sample[k] >= least
+            left &= ~near
+            chosen.append(k)
+            if near.sum() >= CROWD:
+                dense.append(k)
+    return sample[chosen], sample[dense]
+
+
+def homes(v: np.ndarray, centres: np.ndarray, least: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each unit row's home (-1 - its nearest centre; 0 where none is within ``least``), and all lists of centres it is in."""
+    if not len(centres):
+        return np.zeros(len(v), "i4"), [np.zeros(0, "i4")] * len(v)
+    cos = v @ centres.T
+    best = cos.argmax(axis=1)
+    own = np.where(cos[np.arange(len(v)), best] >= least - 1e-9, best, len(centres))
+    # Twice the angle; the home itself is within it, lower centres are visited and higher ones visit here.
+    reach = (2 * least * least - 1 if least > 0 else -1) - 1e-9
+    within = (cos >= reach) & (np.arange(len(centres)) <= own[:, None])
+    return np.where(own < len(centres), -1 - own, 0).astype("i4"), [-1 - np.flatnonzero(x).astype("i4") for x in within]
+
+
+def home_pairs(home: np.ndarray, centre: int) -> np.ndarray:
+    """Upper-triangle mask of pairs of which one is at home here."""
+    own = home == centre
+    return np.triu(own[:, None] | own[None], 1)
+
+
 def candidate_pairs(perm: np.ndarray, pivot: int, shared: int) -> np.ndarray:
     """Upper-triangle mask of pairs that share enough points, the smallest of which is pivot."""
     n, count, smaller = len(perm), None, None
@@ -87,10 +127,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, nearest_points: int =
     sizes = points.groupBy("dim").agg(F.count("*").alias("n")).collect()
     largest = max((r["n"] for r in points.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1).collect()), default=0)
     m = int(min(MOST, max(FEWEST, largest * nearest_points // LIST)))
-    pivots = {}
+    pivots, centres = {}, {}
     for r in sizes:  # one set for each vector length; a table has one or a few
-        sample = points.where(F.col("dim") == r["dim"]).orderBy("h1", "h2", "label").limit(m).select("v").collect()
-        pivots[r["dim"]] = unit(np.array([x["v"] for x in sample]))
+        sample = points.where(F.col("dim") == r["dim"]).orderBy("h1", "h2", "label").limit(SAMPLE).select("v").collect()
+        apart, centres[r["dim"]] = spread(unit(np.array([x["v"] for x in sample])), least)
+        pivots[r["dim"]] = apart[:m]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,18 +142,22 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, nearest_points: int =
                     own = part.slice(low, 2048)
                     perm = nearest(matrix(own.column(4)), pivots[int(d)], nearest_points)
                     width = pa.array(np.arange(0, perm.size + 1, perm.shape[1], "i4"))
-                    yield pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(width, pa.array(perm.reshape(-1)))], ["dim", "label", "rep", "weight", "v", "perm"])
+                    home, lists = homes(unit(matrix(own.column(4))), centres[int(d)], least)
+                    lists = [x if h else np.concatenate([x, y]) for h, x, y in zip(home, lists, perm)]
+                    ends = pa.array(np.cumsum([0, *map(len, lists)]).astype("i4"))
+                    made = [pa.ListArray.from_arrays(width, pa.array(perm.reshape(-1))), pa.array(home), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists).astype("i4")))]
+                    yield pa.RecordBatch.from_arrays([*own.columns, *made], ["dim", "label", "rep", "weight", "v", "perm", "home", "lists"])
 
-    described = points.select("dim", "label", "rep", "weight", "v").mapInArrow(describe, "dim int, label string, rep long, weight long, v array<double>, perm array<int>")
+    described = points.select("dim", "label", "rep", "weight", "v").mapInArrow(describe, "dim int, label string, rep long, weight long, v array<double>, perm array<int>, home int, lists array<int>")
     described = stash(described, "described")
     place = ["dim", "label", "pivot"]
-    lists = described.select(*place[:2], F.explode("perm").alias("pivot")).groupBy(*place).agg(F.count("*").alias("n"))
+    lists = described.select(*place[:2], F.explode("lists").alias("pivot")).groupBy(*place).agg(F.count("*").alias("n"))
     lists = stash(lists.where("n > 1").select(*place, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "lists")
-    posted = described.withColumn("pivot", F.explode("perm")).join(lists, place)
+    posted = described.withColumn("pivot", F.explode("lists")).drop("lists").join(lists, place)
     salt = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.struct(F.least(F.col("salt"), t).alias("s"), F.greatest(F.col("salt"), t).alias("t")))
     dealt = posted.withColumn("salt", salt.cast("int")).withColumn("pair", F.explode(pairs))
-    dealt = dealt.select(F.xxhash64(*place, "pair").alias("cell"), "pivot", "salt", (F.col("pair.s") != F.col("pair.t")).alias("across"), "rep", "weight", "perm", "v")
+    dealt = dealt.select(F.xxhash64(*place, "pair").alias("cell"), "pivot", "salt", (F.col("pair.s") != F.col("pair.t")).alias("across"), "rep", "weight", "perm", "v", "home")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches):
@@ -122,7 +167,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, nearest_points: int =
             order = np.argsort(rep, kind="stable")
             perm, v = matrix(group.column(6)).astype("i4")[order], unit(matrix(group.column(7)))[order]
             rep, weight, salt = rep[order], weight[order], salt[order]
-            mask = candidate_pairs(perm, int(pivot[0]), shared)
+            mask = candidate_pairs(perm, int(pivot[0]), shared) if pivot[0] >= 0 else home_pairs(group.column(8).to_numpy()[order], int(pivot[0]))
             if across[0]:
                 mask &= salt[:, None] != salt[None, :]
             i, j = np.nonzero(mask & (v @ v.T >= least - 1e-9))

@@ -65,3 +65,19 @@ def test_recall_near_the_threshold(spark):
     recall = found / want
     print("recall", recall)
     assert recall >= 0.9
+
+
+@pytest.mark.parametrize("low,high", [(0.95, 0.99), (0.93, 0.97)])
+def test_recall_in_a_large_group(spark, monkeypatch, low, high):
+    """A third of the rows are distinct near copies, with the most reference points there may be."""
+    monkeypatch.setattr(embedding_dedup, "LIST", 10)
+    r, n, group = np.random.default_rng(5), 6000, 2000
+    vectors = unit(r.normal(size=(n, 64)))
+    side = unit(r.normal(size=(group, 64)))
+    cos = np.sqrt(r.uniform(low, high, (group, 1)))  # pairs' cosines are about the products
+    vectors[:group] = unit(cos * vectors[:1] + np.sqrt(1 - cos**2) * side)
+    rows = [(int(k), x.tolist(), 1) for k, x in zip(r.permutation(n), vectors)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).agg({"n_links": "sum"}).first()[0]
+    want = int((vectors @ vectors.T >= 0.93).sum()) - n
+    print("recall in a group", got / want)
+    assert 0.99 * want <= got <= want
