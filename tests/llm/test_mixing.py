@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import mixing
-from quillon.llm.mixing import DOMAINS, draw, fit, fit_rates, mix, posteriors, rate_of
+from quillon.llm.mixing import DOMAINS, draw, finish_rates, fit, fit_rates, mix, posteriors, rate_of
 from quillon.llm.shared import stash
 
 
@@ -84,3 +84,20 @@ def test_draw_follows_rates(spark):
     counts = {round(r.rate, 1): r["count"] / 5000 for r in draw(df).groupBy("rate").count().collect()}
     assert set(counts) == {0.6, 1.2, 1.8} and all(abs(counts[k] - k) < 0.05 for k in counts)
     assert {round(r.rate, 1): r["count"] for r in draw(df, nearest=True).groupBy("rate").count().collect()} == {0.6: 5000, 1.2: 5000, 1.8: 10000}
+
+
+@pytest.mark.parametrize("alpha,weights,steps", [((0.3, 0.2, 0.2), (0.7, 0.2, 0.1), 60), ((3, 1, 1), (0.9, 0.05, 0.05), 60), ((3, 1, 1), (0.9, 0.05, 0.05), 12)])
+def test_every_target_is_met(spark, alpha, weights, steps):
+    g = np.random.default_rng(4)
+    p, n = g.dirichlet(alpha, 2000), g.integers(1, 900, 2000)
+    rows = [(k, int(n[k]), *map(float, p[k])) for k in range(len(n))]
+    known = stash(spark.createDataFrame(rows, "k int, n_tokens long, p_clean double, p_junk double, p_toxic double"), "k")
+    want = np.array(weights) * n.sum()
+    asked = dict(zip(DOMAINS, want.tolist()))
+    history = fit_rates(known, asked, steps)
+    at = lambda h: (p * (n * np.array([r.rate for r in known.withColumn("rate", rate_of(h)).orderBy("k").collect()]))[:, None]).sum(0) / want - 1
+    print("off before", at(history), "after", at(done := finish_rates(known, asked, history)), len(history))
+    assert np.abs(at(done)).max() < 1e-3
+    far = finish_rates(known, {"clean": 1.0, "junk": float(n.sum()), "toxic": 1.0}, [])  # out of reach
+    rate = np.array([r.rate for r in known.withColumn("rate", rate_of(far)).orderBy("k").collect()])
+    assert np.isfinite(rate).all() and rate.min() >= 0
