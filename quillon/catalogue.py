@@ -272,7 +272,7 @@ op("hierarchy_stats", lambda s, d: graph.hierarchy_stats(*_kg(s, d)), f"SELECT i
 op("degree_topn", lambda s, d: graph.degree(*_kg(s, d), 10), f"SELECT id AS node_id, nm AS name, round((SELECT count(*) FROM {_PAIRS} WHERE s = id OR t = id) / CAST((SELECT count(*) FROM {_NAMES}) - 1 AS DOUBLE), 6) AS score FROM {_NAMES} ORDER BY score DESC, node_id LIMIT 10")
 op("resolved_edges", lambda s, d: graph.resolved(*_kg(s, d)), f"SELECT s AS src_id, a.nm AS src_name, a.ty AS src_type, 'subClassOf' AS edge_type, t AS dst_id, b.nm AS dst_name, b.ty AS dst_type, CAST(1.0 AS DOUBLE) AS weight FROM {_PAIRS} LEFT JOIN {_NAMES} a ON a.id = s LEFT JOIN {_NAMES} b ON b.id = t")
 op("typed_entity_view", lambda s, d: graph.typed_view(_kg(s, d)[0], "customer", {"c_mktsegment": "string", "c_nationkey": "int"}), "SELECT 'customer:' || c_custkey AS node_id, c_name AS name, c_mktsegment, c_nationkey FROM customer")
-op("pagerank_topn", lambda s, d: graph.pagerank(*_kg(s, d), 10, steps=10))
+op("pagerank_topn", lambda s, d: graph.pagerank(*_kg(s, d), 10))
 op("hierarchy_path", lambda s, d: graph.hierarchy_path(*_kg(s, d), "Customer#000000007", "World"), f"WITH RECURSIVE w(id, step) AS (SELECT id, 0 FROM {_NAMES} WHERE nm = 'Customer#000000007' UNION ALL SELECT t, step + 1 FROM w JOIN {_PAIRS} ON s = w.id) SELECT step, w.id AS node_id, nm AS node_name FROM w JOIN {_NAMES} USING (id)")
 
 

@@ -192,8 +192,11 @@ def degree(nodes: DataFrame, edges: DataFrame, n: int, node_type: str | None = N
     return scored.select("node_id", "name", score.alias("score")).orderBy(F.desc("score"), "node_id").limit(n)
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, n: int, steps: int = 20, damping: float = 0.85) -> DataFrame:
-    """Top n by PageRank over the undirected graph of current edges: one join a step."""
+def pagerank(nodes: DataFrame, edges: DataFrame, n: int, steps: int = 100, damping: float = 0.85, near: float = 1e-6) -> DataFrame:
+    """Top n by PageRank over the undirected graph of current edges: one join a step, until ranks change by less than ``near`` a node.
+
+    Raises ValueError where ``steps`` are too few for that.
+    """
     pairs = current(edges).select("src_id", "dst_id").where("src_id <> dst_id")
     links = cut(pairs.union(pairs.select("dst_id", "src_id")).distinct().toDF("at", "to"))
     out = cut(links.groupBy("at").agg(F.count("*").alias("out")))
@@ -202,8 +205,14 @@ def pagerank(nodes: DataFrame, edges: DataFrame, n: int, steps: int = 20, dampin
     for _ in range(steps):
         sent = links.join(out, "at").join(ranks, F.col("at") == F.col("id")).groupBy("to").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         idle = ranks.join(out, F.col("id") == F.col("at"), "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("idle"))
-        ranks = ranks.join(sent, F.col("id") == F.col("to"), "left").crossJoin(F.broadcast(idle)).select("id", ((1 - damping) / count + damping * (F.coalesce("got", F.lit(0.0)) + F.col("idle") / count)).alias("rank"))
-        ranks = cut(ranks)
+        new = ranks.join(sent, F.col("id") == F.col("to"), "left").crossJoin(F.broadcast(idle)).select("id", ((1 - damping) / count + damping * (F.coalesce("got", F.lit(0.0)) + F.col("idle") / count)).alias("rank"))
+        new = cut(new)
+        moved = new.join(ranks.withColumnRenamed("rank", "was"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("was"))).alias("moved")).first()["moved"]
+        ranks = new
+        if (moved or 0.0) < count * near or not count:
+            break
+    else:
+        raise ValueError(f"PageRank did not converge in {steps} steps")
     named = ranks.join(nodes.select("node_id", "name"), F.col("id") == F.col("node_id"))
     return named.select("node_id", "name", F.round("rank", 6).alias("score")).orderBy(F.desc("score"), "node_id").limit(n)
 

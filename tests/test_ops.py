@@ -68,3 +68,18 @@ def test_auto_ingest_goes_on(spark, tmp_path):
         spark.createDataFrame([(k, "x")], "k int, v string").write.mode("append").parquet(src)
         auto_ingest(spark, src, "k int, v string", out, ck)
     assert sorted(r.k for r in spark.read.parquet(out).collect()) == [0, 1]
+
+
+def test_pagerank_converges(spark):
+    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("c", "e"), ("e", "f"), ("e", "g"), ("e", "h")]
+    ids = "abcdefghz"
+    nodes = spark.createDataFrame([(x, "n", x.upper(), "{}") for x in ids], "node_id string, node_type string, name string, props string")
+    edges = spark.createDataFrame([(s, d, "t", None) for s, d in pairs], "src_id string, dst_id string, edge_type string, effective_end date")
+    next_to = {x: [b for a, b in pairs if a == x] + [a for a, b in pairs if b == x] for x in ids}
+    rank = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(500):
+        idle = sum(rank[x] for x in ids if not next_to[x])
+        rank = {x: 0.15 / len(ids) + 0.85 * (idle / len(ids) + sum(rank[y] / len(next_to[y]) for y in next_to[x])) for x in ids}
+    assert {r.node_id: r.score for r in graph.pagerank(nodes, edges, 9).collect()} == pytest.approx(rank, abs=6e-5)
+    with pytest.raises(ValueError, match="converge"):
+        graph.pagerank(nodes, edges, 9, steps=2)
