@@ -83,3 +83,17 @@ def test_pagerank_converges(spark):
     assert {r.node_id: r.score for r in graph.pagerank(nodes, edges, 9).collect()} == pytest.approx(rank, abs=6e-5)
     with pytest.raises(ValueError, match="converge"):
         graph.pagerank(nodes, edges, 9, steps=2)
+
+
+def test_checks_see_every_order(spark, sf):
+    duckdb = pytest.importorskip("duckdb")
+    from quillon import catalogue
+
+    con = duckdb.connect()
+    for t in ("orders", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    last = con.execute("SELECT max(o_orderkey) FROM orders").fetchone()[0]
+    for name in ("cardinality_violations_all", "referential_violations_all"):
+        got = sorted(tuple(r) for r in catalogue.QUERIES[name](spark, sf).collect())
+        assert got == sorted(con.execute(catalogue.ORACLES[name]).fetchall())
+    assert last > 2000 and any(r[2] == f"order:{last}" for r in got)
