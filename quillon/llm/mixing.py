@@ -266,7 +266,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     targets: weight of each domain (they need not add up to 1); ``total``
     tokens are wanted in all, those of docs where not given. Without targets
     each domain should have what the documents that are likely clean bring
-    along of it. Null
+    along of it; where no label meets a document, every rate is 1. Null
     texts have no tokens; repeated rows get the same rate; no rows give none.
     """
     docs = docs.drop("rate")
@@ -279,7 +279,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     if targets is None:
         # What the likely clean documents bring along of every domain: whole rates for them and none for the rest meet it.
         likely = known.where("p_clean >= 0.5").agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]).first()
-        want = {d: likely[d] or 0.0 for d in DOMAINS}
+        # A prior of zeros: no label met a document, so nothing tells domains apart and every document stays whole.
+        want = {d: likely[d] or 0.0 for d in DOMAINS} if any(model["prior"][0]) else have
     else:
         weight = sum(targets.values()) or 1.0
         want = {d: targets.get(d, 0.0) / weight * (sum(have.values()) if total is None else total) for d in DOMAINS}

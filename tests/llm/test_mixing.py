@@ -101,3 +101,9 @@ def test_every_target_is_met(spark, alpha, weights, steps):
     far = finish_rates(known, {"clean": 1.0, "junk": float(n.sum()), "toxic": 1.0}, [])  # out of reach
     rate = np.array([r.rate for r in known.withColumn("rate", rate_of(far)).orderBy("k").collect()])
     assert np.isfinite(rate).all() and rate.min() >= 0
+
+
+def test_no_labels_keep_everything(spark):
+    docs = spark.createDataFrame([(k, f"a b {k}") for k in range(5)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert sorted(r.doc_id for r in draw(mix(docs, none, steps=12), nearest=True).collect()) == [0, 1, 2, 3, 4]
