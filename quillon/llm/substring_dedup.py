@@ -13,8 +13,8 @@ hashes, so only segments that share one can share a window.
    their single edges, which are counted.
 3. Whole segments that follow each other are joined; where a link has no other
    way in or out, the two are one path. A document's paths become spans.
-4. Documents meet their spans by source coordinates; each span is checked
-   against the words there before anything is removed.
+4. Documents meet their spans. Spans are removed by 64-bit hashes alone; the
+   words at a source coordinate are not compared.
 
 Counts are combined before each shuffle and hot sides of joins come fresh from
 stored tables, so that the adaptive planner can split them.
