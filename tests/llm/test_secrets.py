@@ -4,7 +4,10 @@ import hashlib
 import random
 import re
 
-from quillon.llm.secrets import battery, discoveries, find, redact, redact_secrets, scan_secrets
+import numpy as np
+import pytest
+
+from quillon.llm.secrets import CLASSES, ENCODINGS, LENGTHS, RATE, Null, Rule, battery, find, fit, redact, redact_secrets, scan_secrets, examine
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ODD = [
@@ -51,35 +54,107 @@ def test_odd_texts(spark):
     assert scan_secrets(docs.limit(0)).count() == 0
 
 
-def test_battery_finds_random_tokens_only():
-    r = random.Random(5)
-    hit = {"hex": 0, "b64": 0, "word": 0}
-    # English letters by their share of running text, in thousandths
-    shares = dict(e=127, t=91, a=82, o=75, i=70, n=67, s=63, h=61, r=60, d=43, l=40, c=28, u=28, m=24, w=24, f=22, g=20, y=20, p=19, b=15, v=10, k=8)
-    for _ in range(300):
-        for name, token in (
-            ("hex", "".join(r.choices("0123456789abcdef", k=40))),
-            ("b64", "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=32))),
-            ("word", "".join(r.choices(list(shares), list(shares.values()), k=28))),
-        ):
-            found = battery(token)
-            hit[name] += bool(found and discoveries([(0, len(token), *found)]))
-    assert hit["hex"] > 240 and hit["b64"] > 270 and hit["word"] < 6
-    assert battery("4041894974608795123456") is None and not discoveries([])
-    assert not discoveries([(0, 20, *battery("a" * 20))])
+ENGLISH = "user account manager service request handler config database connection timeout value index payment order customer status update create delete list session cache network client server response error message parse token stream buffer file path name".split()
+SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+@pytest.fixture(scope="module")
+def null():
+    """From running text of English words only."""
+    r, triples = random.Random(1), np.zeros(27**3, "i8")
+    text = " " + " ".join(r.choices(ENGLISH, k=20_000)) + " "
+    c = np.array([0 if x == " " else ord(x) - 96 for x in text])
+    np.add.at(triples, c[:-2] * 729 + c[1:-1] * 27 + c[2:], 1)
+    return Null(triples)
+
+
+def named(r, joint, capital, n, digits):
+    out = ""
+    while len(out) < n:
+        w = r.choice(ENGLISH)
+        out += (w.capitalize() if capital else w) + joint
+    return out[: n - 4 * digits] + ("%04d" % r.randrange(10_000) if digits else "")
+
+
+def p_value(null, token):
+    cell = examine(token)
+    return 1.0 if cell is None else float(null.chance[cell[0], cell[1], null.classes(*cell[:2], cell[2][None])[0]])
+
+
+def test_names_paths_and_numbers_are_ordinary(null):
+    r = random.Random(3)
+    for joint, capital, digits in [("_", 0, 1), ("_", 0, 0), ("-", 0, 0), ("/", 0, 0), ("", 1, 0), ("", 1, 1), ("", 0, 1), ("", 0, 0)]:
+        for n in (20, 24, 32, 48):
+            p = np.array([p_value(null, named(r, joint, capital, n, digits)) for _ in range(500)])
+            assert (p <= 0.01).mean() <= 0.03 and (p <= 0.001).mean() <= 0.006, (joint, capital, digits, n)
+
+
+def test_random_tokens_of_some_length_are_found(null):
+    r = random.Random(4)
+    for symbols, n, least in [(SYMBOLS, 40, 0.8), (SYMBOLS + "+/", 32, 0.8), ("0123456789abcdef", 40, 0.85), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 40, 0.7)]:
+        assert np.mean([p_value(null, "".join(r.choices(symbols, k=n))) <= 0.01 for _ in range(300)]) >= least
+    assert examine("4041894974608795123456") is None
+    assert examine("VGhlIHF1aWNrIGJyb3duIGZveCBqdW1wcw==".rstrip("=")) is None  # reads as text
+
+
+def test_step_up_against_a_plain_one(null):
+    """The cuts are those of Benjamini-Hochberg with weights, done token by token."""
+    r = random.Random(6)
+    tokens = ["".join(r.choices(SYMBOLS, k=r.choice([24, 32, 40, 64]))) for _ in range(150)] + [named(r, "", 1, r.choice([20, 26, 40]), 1) for _ in range(850)]
+    cells = []
+    for t in tokens:
+        k, j, z = examine(t)
+        cells.append((k, j, int(null.classes(k, j, z[None])[0])))
+    seen = {c: cells.count(c) for c in set(cells)}
+    rule = Rule(null, seen)
+    mean = sum(LENGTHS[j] for _, j, _ in cells) / len(cells)
+    q = [null.chance[c] * mean / LENGTHS[c[1]] for c in cells]
+    ranked, most = sorted(q), -1.0
+    for i, x in enumerate(ranked, 1):
+        if x <= RATE * i / len(q):
+            most = x
+    found = [x <= most for x in q]
+    assert [rule.holds(t) for t in tokens] == found
+    false = sum(found[150:])
+    assert sum(found) > 60 and false <= 0.03 * sum(found)
+    assert not Rule(null, {}).cut.any()
+
+
+def test_battery_is_standard_on_random_symbols():
+    values = np.random.default_rng(2).integers(0, 62, (4000, 40))
+    z = battery(values, 62)
+    assert np.abs(z.mean(axis=0)).max() < 0.1 and np.abs(z.std(axis=0) - 1).max() < 0.15
+
+
+def corpus(spark, secrets):
+    r = random.Random(9)
+    texts = [" ".join(r.choices(ENGLISH, k=60)) + " " + named(r, r.choice("_-/"), 0, 30, 0) + " end" for _ in range(400)]
+    for k in range(secrets):
+        texts[k] += " key " + "".join(r.choices(SYMBOLS + "+/", k=48)) + " then token=abcdefgh12345678"
+    return spark.createDataFrame([(k, t) for k, t in enumerate([*texts, *ODD])], "doc_id long, text string")
+
+
+def test_random_tokens_are_added_base_stays_and_redaction_is_whole(spark):
+    docs = corpus(spark, 40)
+    rows = sorted(scan_secrets(docs).collect(), key=lambda r: r.doc_id)
+    check(rows)
+    assert sum(r.n_random for r in rows[:40]) >= 36 and sum(r.n_random for r in rows[40:]) <= 1
+    rule = fit(docs)
+    assert [",".join(f"{k}:{a}:{b}" for a, k, b in find(r.text, rule)) for r in rows] == [r.spans for r in rows]
+    for r in redact_secrets(docs).collect():
+        assert not find(r.text, rule)
+    assert redact("x token=abcdefgh12345678 y", rule) == "x [SECRET] y" and redact(None, rule) is None
 
 
-def test_random_token_is_added_and_base_stays():
-    text = "key 9f8Q2xLm0ZtVbN7wKcR4yHsGdJ1uPaEo then token=abcdefgh12345678"
-    kinds = [k for _, k, _ in find(text)]
-    assert kinds == ["random", "assign"]
-    assert redact(text) == "key [SECRET] then [SECRET]"
+def test_no_secret_no_find(spark):
+    rows = scan_secrets(corpus(spark, 0)).collect()
+    assert sum(r.n_random for r in rows) <= 1
 
 
 def test_redaction(spark):
     docs = spark.createDataFrame([(t, 1) for t in ODD], "text string, n_chars long")
-    rows = redact_secrets(docs).collect()
-    assert len(rows) == len(ODD)
+    rows, rule = redact_secrets(docs).collect(), fit(docs)
+    assert len(rows) == len(ODD) and rule.cut.shape == (len(ENCODINGS), len(LENGTHS)) and rule.cut.max() < CLASSES
     for r in rows:
-        assert not find(r.text) or all(k == "random" for _, k, _ in find(r.text))
+        assert not find(r.text, rule)
         assert r.n_chars == (None if r.text is None else len(r.text))
