@@ -2,9 +2,10 @@
 
 Every url becomes one expression for each rule shape (labels in the host,
 characters in the path) that the url can fill. An expression is known by the
-first 32 bits of its SHA-256; rows meet rules in an equi-join on those bits and
-the whole digest confirms the meeting. Precedence is one long, so picking a
-row's rule is a map-side ``max`` and the rule's text is cut from the url again.
+first 32 bits of its SHA-256: rows meet rules in an equi-join on those bits
+alone, and what meets counts only where the whole digests are equal. Precedence
+is one long, so picking a row's rule is a map-side ``max`` and the rule's text
+is cut from the url again.
 
 Only DataFrame functions run here.
 """
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rules up to this many rows are broadcast (about 100 bytes each); more are joined by a shuffle.
 BROADCAST_RULES = 200_000
+#: Hex digits of the short prefix: 32 bits.
+PREFIX = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,7 +45,7 @@ def prepare_rules(rules: DataFrame) -> DataFrame:
     )
     return r.select(
         digest.alias("rule_digest"),
-        F.substring(digest, 1, 8).alias("prefix"),
+        F.substring(digest, 1, PREFIX).alias("rule_prefix"),
         F.size(F.split("host", r"\.")).alias("labels"),
         F.length("path").alias("path_len"),
         rank.alias("rank"),
@@ -56,28 +59,36 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     where the url's path starts with the rule's. The longest host plus path
     wins, then the longest host, then block. Without a rule: null and
     ``default``. Null, empty or scheme-less urls have empty host and path and
-    fit nothing. Repeated rows are judged one by one; no rows give no rows.
+    fit nothing. Repeated rows are judged one by one; no rows give no rows. A url
+has at most as many expressions as its labels times its path's length, and no
+more than the rules have shapes.
     """
     made = prepare_rules(rules)
     known = made.agg(F.count("*").alias("n"), F.collect_set(F.struct("labels", "path_len")).alias("s")).first()
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     host, path = split_url(F.col("url"))
-    rows = pages.select(*keep, host.alias("host"), path.alias("path"))
     if not known["s"]:
-        return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return pages.select(*keep, host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    # The columns of pages travel as one struct, so none of their names can clash with what is made here.
+    rows = pages.select(F.struct(*keep).alias("own"), host.alias("host"), path.alias("path"))
     shapes = F.array(*[F.struct(F.lit(s["labels"]).alias("labels"), F.lit(s["path_len"]).alias("cut")) for s in sorted(known["s"])])
     labels = F.size(F.split("host", r"\."))
     fits = F.filter(shapes, lambda s: (s["labels"] <= labels) & (s["cut"] <= F.length("path")))
     digests = F.transform(fits, lambda s: F.sha2(F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -s["labels"]), F.substring("path", F.lit(1), s["cut"])), 256))
     # A row's expressions stay in its task; the id keeps repeated rows apart until the map-side max folds them.
-    wide = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_digest", F.explode_outer(digests))
-    wide = wide.withColumn("_prefix", F.substring("_digest", 1, 8))
-    side = made.select("prefix", "rule_digest", "rank")
+    wide = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("digest", F.explode_outer(digests))
+    side = made.select("rule_prefix", "rule_digest", "rank")
     side = F.broadcast(side) if known["n"] <= BROADCAST_RULES else side
-    met = wide.join(side, (F.col("_prefix") == F.col("prefix")) & (F.col("_digest") == F.col("rule_digest")), "left")
-    best = met.groupBy("_row", *keep, "host", "path").agg(F.max("rank").alias("_rank"))
-    total = F.shiftright("_rank", 32).cast("int")
-    from_host = (F.shiftright("_rank", 1) % F.lit(1 << 31)).cast("int")
+    met = wide.join(side, F.substring("digest", 1, PREFIX) == F.col("rule_prefix"), "left")
+    confirmed = F.max(F.when(F.col("digest") == F.col("rule_digest"), F.col("rank"))).alias("rank")
+    # Maps and variants cannot be grouped by: then the rows travel beside their ids.
+    plain = not any(k in t for _, t in pages.select(*keep).dtypes for k in ("map", "variant"))
+    if plain:
+        best = met.groupBy("row", "own", "host", "path").agg(confirmed)
+    else:
+        best = met.groupBy("row", "host", "path").agg(confirmed, F.any_value("own").alias("own"))
+    total = F.shiftright("rank", 32).cast("int")
+    from_host = (F.shiftright("rank", 1) % F.lit(1 << 31)).cast("int")
     rule = F.concat(F.right("host", from_host), F.substring("path", F.lit(1), total - from_host))
-    verdict = F.when(F.col("_rank").isNull(), default).when(F.col("_rank") % 2 == 1, "block").otherwise("allow")
-    return best.select(*keep, "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+    verdict = F.when(F.col("rank").isNull(), default).when(F.col("rank") % 2 == 1, "block").otherwise("allow")
+    return best.select("own.*", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
