@@ -1,11 +1,14 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
-A vector is described by its NEAREST reference points in order. Each such point
-has, for each label, an inverted list of the vectors that name it. Two vectors
-are candidates where they share SHARED points or more; the list of the smallest
-shared point compares them, so a pair is seen once. The cosine of whole vectors
-in double precision decides. Long lists are dealt out in blocks and all pairs
-of blocks, so no list is one task and none is capped.
+A vector is described by its nearest reference points in order (``described_by``
+says how many). Each such point has, for each label, an inverted list of the
+vectors that name it. Two vectors are candidates where they share two points or
+more; the list of the smallest shared point compares them, so a pair is seen
+once. The cosine of whole vectors in double precision decides. Beyond MOST
+points lists grow with the input, so a list of more than SPLIT vectors becomes
+lists by its second point: the same candidates, each in the list of the two
+smallest points shared. What is still long is dealt out in blocks and all
+pairs of blocks, so no list is one task and none is capped.
 
 Reference points are a bounded sample, no two of them within the threshold, and
 only describe; every vector is indexed. Where the sample itself is dense (a
@@ -20,6 +23,7 @@ approximate by nature: ``recall`` in the tests holds the index above 0.9.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +35,8 @@ from quillon.llm.components import components, forest
 from quillon.llm.shared import partitions, stash
 
 NEAREST, SHARED = 5, 2
+#: Vectors of a list that is split by a second point.
+SPLIT = 2048
 #: Reference points: so that a label's lists hold about LIST vectors, within these bounds.
 LIST, FEWEST, MOST = 400, 32, 2048
 #: Points that the references are taken from, and sampled points about one (itself too) that make it a centre.
@@ -39,6 +45,11 @@ SAMPLE, CROWD = 4096, 3
 BLOCK = 512
 
 
+def described_by(points: int) -> int:
+    """Points that describe a vector: more of them where they stand closer, for at least 0.98 of random pairs at 0.93."""
+    return NEAREST + max(0, math.ceil(math.log(points / 128, 4)))
+
+
 def usable(vector: Column) -> Column:
     """No null, not-a-number or infinite component, and not all zero."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
@@ -93,19 +104,20 @@ def home_pairs(home: np.ndarray, centre: int) -> np.ndarray:
     return np.triu(own[:, None] | own[None], 1)
 
 
-def candidate_pairs(perm: np.ndarray, pivot: int, shared: int) -> np.ndarray:
-    """Upper-triangle mask of pairs that share enough points, the smallest of which is pivot."""
-    n, count, smaller = len(perm), None, None
-    count, smaller = np.zeros((n, n), "u1"), np.zeros((n, n), bool)
+def candidate_pairs(perm: np.ndarray, pivot: int, second: int) -> np.ndarray:
+    """Upper-triangle mask of pairs that share SHARED points, the smallest of which is pivot (and the next second, where it is not -1)."""
+    n = len(perm)
+    count, smaller = np.zeros((n, n), "u1"), np.zeros((n, n), "u1")
+    bound = pivot if second < 0 else second
     for a in range(perm.shape[1]):
         for b in range(perm.shape[1]):
             same = perm[:, a, None] == perm[None, :, b]
             count += same
-            smaller |= same & (perm[:, a, None] < pivot)
-    return np.triu((count >= shared) & ~smaller, 1)
+            smaller += same & (perm[:, a, None] < bound)
+    return np.triu((count >= SHARED) & (smaller == (second >= 0)), 1)
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.93, nearest_points: int = NEAREST, shared: int = SHARED) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     """One row for each row of vectors (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Rows link where labels are equal and not null, lengths are equal and the
@@ -126,7 +138,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, nearest_points: int =
     points = stash(points.withColumn("dim", F.size("v")), "points")
     sizes = points.groupBy("dim").agg(F.count("*").alias("n")).collect()
     largest = max((r["n"] for r in points.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1).collect()), default=0)
-    m = int(min(MOST, max(FEWEST, largest * nearest_points // LIST)))
+    m = int(min(MOST, max(FEWEST, largest * NEAREST // LIST)))
     pivots, centres = {}, {}
     for r in sizes:  # one set for each vector length; a table has one or a few
         sample = points.where(F.col("dim") == r["dim"]).orderBy("h1", "h2", "label").limit(SAMPLE).select("v").collect()
@@ -140,7 +152,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, nearest_points: int =
                 part = batch.filter(pa.array(dims == d))
                 for low in range(0, part.num_rows, 2048):
                     own = part.slice(low, 2048)
-                    perm = nearest(matrix(own.column(4)), pivots[int(d)], nearest_points)
+                    perm = nearest(matrix(own.column(4)), pivots[int(d)], described_by(len(pivots[int(d)])))
                     width = pa.array(np.arange(0, perm.size + 1, perm.shape[1], "i4"))
                     home, lists = homes(unit(matrix(own.column(4))), centres[int(d)], least)
                     lists = [x if h else np.concatenate([x, y]) for h, x, y in zip(home, lists, perm)]
@@ -151,23 +163,32 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, nearest_points: int =
     described = points.select("dim", "label", "rep", "weight", "v").mapInArrow(describe, "dim int, label string, rep long, weight long, v array<double>, perm array<int>, home int, lists array<int>")
     described = stash(described, "described")
     place = ["dim", "label", "pivot"]
-    lists = described.select(*place[:2], F.explode("lists").alias("pivot")).groupBy(*place).agg(F.count("*").alias("n"))
-    lists = stash(lists.where("n > 1").select(*place, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "lists")
+    counted = described.select(*place[:2], F.explode("lists").alias("pivot")).groupBy(*place).agg(F.count("*").alias("n"))
+    lists = stash(counted.where("n > 1").withColumn("split", (F.col("n") > SPLIT) & (F.col("pivot") >= 0)), "lists")
     posted = described.withColumn("pivot", F.explode("lists")).drop("lists").join(lists, place)
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
+    body = ["rep", "weight", "perm", "v", "home"]
+    whole = posted.where("not split").select(*place, F.lit(-1).alias("second"), blocks, *body)
+    place = [*place, "second"]
+    if not lists.where("split").isEmpty():
+        finer = posted.where("split").withColumn("second", F.explode(F.filter("perm", lambda q: q > F.col("pivot")))).select(*place, *body)
+        again = finer.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1").select(*place, blocks)
+        whole = whole.unionByName(finer.join(stash(again, "lists"), place).select(*place, "blocks", *body))
+    posted = whole
     salt = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.struct(F.least(F.col("salt"), t).alias("s"), F.greatest(F.col("salt"), t).alias("t")))
     dealt = posted.withColumn("salt", salt.cast("int")).withColumn("pair", F.explode(pairs))
-    dealt = dealt.select(F.xxhash64(*place, "pair").alias("cell"), "pivot", "salt", (F.col("pair.s") != F.col("pair.t")).alias("across"), "rep", "weight", "perm", "v", "home")
+    dealt = dealt.select(F.xxhash64(*place, "pair").alias("cell"), *place, "salt", (F.col("pair.s") != F.col("pair.t")).alias("across"), "rep", "weight", "perm", "v", "home")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _runs(batches):
-            _, pivot, salt, across, rep, weight = (c.to_numpy(zero_copy_only=False) for c in group.columns[:6])
+        for group in _runs(batches, 5):  # by the list itself: cells only deal
+            pivot, second, salt, across, rep, weight = (c.to_numpy(zero_copy_only=False) for c in group.columns[3:9])
             if len(rep) < 2:
                 continue
             order = np.argsort(rep, kind="stable")
-            perm, v = matrix(group.column(6)).astype("i4")[order], unit(matrix(group.column(7)))[order]
+            perm, v = matrix(group.column(9)).astype("i4")[order], unit(matrix(group.column(10)))[order]
             rep, weight, salt = rep[order], weight[order], salt[order]
-            mask = candidate_pairs(perm, int(pivot[0]), shared) if pivot[0] >= 0 else home_pairs(group.column(8).to_numpy()[order], int(pivot[0]))
+            mask = candidate_pairs(perm, int(pivot[0]), int(second[0])) if pivot[0] >= 0 else home_pairs(group.column(11).to_numpy()[order], int(pivot[0]))
             if across[0]:
                 mask &= salt[:, None] != salt[None, :]
             i, j = np.nonzero(mask & (v @ v.T >= least - 1e-9))
@@ -179,7 +200,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, nearest_points: int =
             root, some = forest(len(rep), i, j), n > 0
             yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(rep[root][some]), pa.array(n[some])], ["a", "b", "n"])
 
-    found = dealt.repartition(partitions(spark), "cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long, n long")
+    found = dealt.repartition(partitions(spark), "cell").sortWithinPartitions("cell", *place).mapInArrow(compare, "a long, b long, n long")
     found = stash(found, "links")
     counted = found.groupBy("a").agg(F.sum("n").alias("n"))
     groups = components(found)
@@ -191,16 +212,16 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, nearest_points: int =
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Runs of equal first columns in sorted batches."""
+def _runs(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.RecordBatch]:
+    """Runs of equal first columns (so many) in sorted batches; none of them is null."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        cell = batch.column(0).to_numpy(zero_copy_only=False)
-        if not len(cell):
+        if not batch.num_rows:
             continue
-        starts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist()]
-        for a, b in zip(starts, [*starts[1:], len(cell)]):
-            if held and held[0].column(0)[0].as_py() != cell[a]:
+        own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        starts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in own], axis=0)) + 1).tolist()]
+        for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+            if held and any(held[0].column(k)[0].as_py() != batch.column(k)[a].as_py() for k in range(keys)):
                 yield _one(held)
                 held = []
             held.append(batch.slice(a, b - a))
