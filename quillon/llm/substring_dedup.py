@@ -1,23 +1,25 @@
 """Substring dedup on a compacted De Bruijn graph of words.
 
-A window of WINDOW words is an edge between its first and last WINDOW - 1
-words; an edge that starts at two places is repeated. Edges are handled in
-paths from the start: consecutive windows whose smallest SEED-word hash is the
-same occurrence make a segment, and equal windows always have equal smallest
-hashes, so only segments that share one can share a window.
+Runs of WINDOW - 1 words are nodes and windows of WINDOW words are edges; an
+edge that starts at two places is repeated. Edges are handled in super-k-mers:
+consecutive windows whose smallest SEED-word hash is the same occurrence make a
+segment, and equal windows always have equal smallest hashes, so only segments
+that share one can share a window. The hash only deals; what is equal is told
+by a 128-bit digest of the words at a segment's or window's coordinates.
 
 1. Segments meet on that hash. Alone: none of their windows is repeated. One
    content for all: every window is. Several contents: contents that occur
    twice are repeated whole, and the others are opened.
-2. Opened segments (and one occurrence of each other content beside them) give
-   their single edges, which are counted.
-3. Whole segments that follow each other are joined; where a link has no other
-   way in or out, the two are one path. A document's paths become spans.
-4. Documents meet their spans. Spans are removed by 64-bit hashes alone; the
-   words at a source coordinate are not compared.
-
-Counts are combined before each shuffle and hot sides of joins come fresh from
-stored tables, so that the adaptive planner can split them.
+2. Opened segments (and one occurrence, the source, of each other content
+   beside them) give their single edges, which are counted by their digests.
+3. Repeated segments are edges between the nodes at their ends. Where a node has
+   one way in and one way out, what meets there is one path: two joins by node
+   compact the graph, and a document's runs of a path become its spans.
+4. Documents meet their spans; words that spans cover go.
+
+Rows with equal doc_id and text are one document with a count, before anything
+is joined. Counts are combined before each shuffle and hot sides of joins come
+fresh from stored tables, so that the adaptive planner can split them.
 """
 
 from __future__ import annotations
@@ -62,7 +64,7 @@ class Words:
 
     def __init__(self, text: str | None):
         self.words = (text or "").encode().split()  # bytes split at ASCII white space only
-        self.sums = None
+        self.sums = self.joined = None
 
     def hashes(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         if self.sums is None:
@@ -72,11 +74,19 @@ class Words:
             np.cumsum(each * up[:-1], out=self.sums[1:])
         return mix((self.sums[start + length] - self.sums[start]) * self.down[start] + np.asarray(length).astype("u8") * np.uint64(BASE))
 
+    def digests(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """128-bit digests of runs of words, two numbers a row."""
+        if self.joined is None:
+            self.joined = memoryview(b" ".join(self.words) + b" ")
+            self.at = np.cumsum([0, *map(len, self.words)]) + np.arange(len(self.words) + 1)
+        out = b"".join([xxhash.xxh3_128_digest(self.joined[a:b]) for a, b in zip(self.at[start].tolist(), self.at[start + length].tolist())])
+        return np.frombuffer(out, "<i8").reshape(-1, 2)
+
     def segments(self, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, ...]:
-        """(first window, windows, smallest seed hash, hash of the segment's words) of each segment."""
+        """(first window, windows, smallest seed hash) of each segment."""
         n = len(self.words) - window + 1
         if n < 1:
-            return (np.zeros(0, "i8"),) * 2 + (np.zeros(0, "u8"),) * 2
+            return np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "u8")
         seeds = self.hashes(np.arange(len(self.words) - seed + 1), seed)
         best, width, need = np.arange(len(seeds)), 1, window - seed + 1
         while width < need:  # leftmost smallest seed of each run of width seeds
@@ -84,8 +94,7 @@ class Words:
             a, b = best[:-step], best[step:]
             best, width = np.where(seeds[b] < seeds[a], b, a), width + step
         first = np.flatnonzero(np.diff(best, prepend=-1))
-        count = np.diff(first, append=n)
-        return first, count, seeds[best[first]], self.hashes(first, count + window - 1)
+        return first, np.diff(first, append=n), seeds[best[first]]
 
     def removed(self, spans: list[tuple[int, int]], window: int = WINDOW) -> np.ndarray:
         """Mask of the words that windows of the spans (first window, end) cover."""
@@ -106,37 +115,43 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"k1": F.coalesce("doc_id", F.lit(-(1 << 63))), "k2": F.xxhash64("doc_id", "text")})
 
 
-def _segments(docs: DataFrame, window: int) -> DataFrame:
+def _segments(rows: DataFrame, window: int) -> DataFrame:
+    """k1, k2, text -> k1, k2, first, n, g (smallest hash), d1, d2 (digest), a, b (hashes of the nodes at its ends) of each segment."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part, out = batch.slice(low, 512), []
                 k1, k2 = (part.column(c).to_numpy() for c in (0, 1))
                 for k, text in enumerate(part.column(2)):
-                    first, count, seed, whole = Words(text.as_py()).segments(window)
-                    out.append((np.full(len(first), k), first, count, seed.view("i8"), whole.view("i8")))
-                at, *rest = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(k1[at]), pa.array(k2[at]), *[pa.array(r.astype(t)) for r, t in zip(rest, ("i4", "i4", "i8", "i8"))]], ["k1", "k2", "first", "n", "g", "h"])
+                    own = Words(text.as_py())
+                    first, count, seed = own.segments(window)
+                    if len(first):
+                        ends = own.hashes(np.concatenate([first, first[-1:] + count[-1:]]), window - 1).view("i8")
+                        digest = own.digests(first, count + window - 1)
+                        out.append((np.full(len(first), k), first, count, seed.view("i8"), digest[:, 0], digest[:, 1], ends[:-1], ends[1:]))
+                if out:
+                    at, *rest = (np.concatenate(x) for x in zip(*out))
+                    made = [pa.array(r.astype(t)) for r, t in zip(rest, ("i4", "i4", "i8", "i8", "i8", "i8", "i8"))]
+                    yield pa.RecordBatch.from_arrays([pa.array(k1[at]), pa.array(k2[at]), *made], ["k1", "k2", "first", "n", "g", "d1", "d2", "a", "b"])
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, first int, n int, g long, h long")
+    return rows.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, first int, n int, g long, d1 long, d2 long, a long, b long")
 
 
 def _paths(whole: DataFrame) -> DataFrame:
-    """Whole repeated segments -> k1, k2, first, end: runs of each document that are one nonbranching path."""
-    one = whole.select("k1", "k2", F.col("first").alias("first"), F.col("h").alias("b"))
-    links = whole.select("k1", "k2", (F.col("first") + F.col("n")).alias("first"), F.col("h").alias("a")).join(one, ["k1", "k2", "first"])
-    links = stash(links.groupBy("a", "b").agg(F.count("*").alias("times")), "links")
-    out = links.groupBy("a").agg(F.count("*").alias("ways")).where("ways = 1").select("a")
-    into = links.groupBy("b").agg(F.count("*").alias("ways"), F.min("a").alias("a")).where("ways = 1").select("a", "b")
-    plain = stash(into.join(out, "a").select(F.col("b").alias("h"), F.col("a").alias("before")), "plain")
+    """Repeated segments of distinct documents -> k1, k2, first, end: runs of each document that are one nonbranching path."""
+    edges = stash(whole.select("d1", "d2", "a", "b").distinct(), "edges")
+    out = edges.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("out"))
+    into = edges.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("into"))
+    inner = stash(out.join(into, "node").where("out = 1 and into = 1").select(F.col("node").alias("a"), F.lit(True).alias("inner")), "inner")
     w = Window.partitionBy("k1", "k2").orderBy("first")
-    told = whole.join(plain, "h", "left").withColumns({"prev": F.lag("h").over(w), "prev_end": F.lag(F.col("first") + F.col("n")).over(w)})
-    goes_on = F.coalesce((F.col("prev") == F.col("before")) & (F.col("prev_end") == F.col("first")), F.lit(False))
+    told = whole.join(inner, "a", "left").withColumn("before", F.lag(F.col("first") + F.col("n")).over(w))
+    goes_on = F.coalesce(F.col("inner") & (F.col("before") == F.col("first")), F.lit(False))
     numbered = told.withColumn("path", F.sum(F.when(goes_on, 0).otherwise(1)).over(w))
     return numbered.groupBy("k1", "k2", "path").agg(F.min("first").alias("first"), F.max(F.col("first") + F.col("n")).alias("end"))
 
 
-OPENED = "array<struct<pos:int,g:long,w:long,times:long,asks:boolean>>"
+OPENED = "array<struct<pos:int,g:long,w1:long,w2:long,times:long,asks:boolean>>"
 SPANS = "array<struct<first:int,end:int>>"
 
 
@@ -147,24 +162,26 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     rows = _keyed(docs)
     cut = _segments(rows, window)
-    met = cut.groupBy("g").agg(F.count("*").alias("times"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+    content = F.struct("d1", "d2")
+    met = cut.groupBy("g").agg(F.count("*").alias("times"), F.min(content).alias("lo"), F.max(content).alias("hi"))
     met = stash(met.where("times > 1").select("g", (F.col("lo") == F.col("hi")).alias("same")), "met")
-    alive = stash(cut.join(met, "g"), "alive")
-    kinds = alive.where("not same").groupBy("g", "h").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "first")).alias("source"))
+    # From here on a row that is repeated is one row with its number of copies.
+    columns = ["k1", "k2", "first", "n", "g", "d1", "d2", "a", "b"]
+    alive = stash(cut.join(met, "g").groupBy(*columns, "same").agg(F.count("*").alias("copies")), "alive")
+    kinds = alive.where("not same").groupBy("g", "d1", "d2").agg(F.sum("copies").alias("times"), F.min(F.struct("k1", "k2", "first")).alias("source"))
     kinds = stash(kinds, "kinds")
-    several = alive.where("not same").join(kinds, ["g", "h"])
+    several = alive.where("not same").join(kinds, ["g", "d1", "d2"])
     several = several.withColumn("lead", F.col("source") == F.struct("k1", "k2", "first"))
-    columns = ["k1", "k2", "first", "n", "g", "h"]
     whole = stash(alive.where("same").select(*columns).unionByName(several.where("times > 1").select(*columns)), "whole")
     opened = several.where("times = 1 or lead").select("k1", "k2", "first", "n", "times")
     spans = _paths(whole).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
-    opens = opened.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "n", "times")).alias("opens"))
+    opens = opened.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "n", "times")).alias("opens"))
     # Two outer joins to small tables by the same key: the texts are dealt once.
     marks = stash(spans.join(opens, ["k1", "k2"], "full"), "marks")
     told = rows.join(marks, ["k1", "k2"], "left").select("doc_id", "text", "k1", "k2", "spans", "opens")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))), ("opened", pa.list_(pa.struct([("pos", pa.int32()), ("g", pa.int64()), ("w", pa.int64()), ("times", pa.int64()), ("asks", pa.bool_())])))])
+        schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))), ("opened", pa.list_(pa.struct([("pos", pa.int32()), ("g", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()), ("times", pa.int64()), ("asks", pa.bool_())])))])
         for batch in batches:
             for low in range(0, batch.num_rows, 128):
                 out = []
@@ -173,12 +190,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     spans = [(s["first"], s["end"]) for s in r["spans"] or []]
                     asked = []
                     if r["opens"]:
-                        first, count, seed, _ = own.segments(window)
+                        first, count, seed = own.segments(window)
                         seeds = dict(zip(first.tolist(), seed.view("i8").tolist()))
                         for o in r["opens"]:
                             at = np.arange(o["first"], o["first"] + o["n"])
-                            for pos, w in zip(at.tolist(), own.hashes(at, window).view("i8").tolist()):
-                                asked.append({"pos": pos, "g": seeds[o["first"]], "w": w, "times": o["times"], "asks": o["times"] == 1})
+                            for pos, (w1, w2) in zip(at.tolist(), own.digests(at, window).tolist()):
+                                asked.append({"pos": pos, "g": seeds[o["first"]], "w1": w1, "w2": w2, "times": o["times"], "asks": o["times"] == 1})
                     done = not any(a["asks"] for a in asked)
                     out.append({"doc_id": r["doc_id"], "text": None if done else text, "k1": r["k1"], "k2": r["k2"], "spans": r["spans"] or [], "opened": asked} | dict(zip(("n_words", "n_removed", "kept_sha256"), own.kept(own.removed(spans, window)))))
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
@@ -201,10 +218,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     judged = repeated_spans(docs, window)
     edges = stash(judged.select("k1", "k2", F.explode("opened").alias("e")).select("k1", "k2", "e.*"), "opened")
-    # Rows with equal keys ask twice for one occurrence each; a led content counts as often as it occurs.
-    counted = edges.groupBy("g", "w").agg(F.sum("times").alias("n")).where("n > 1").select("g", "w")
-    counted = stash(counted, "repeated")
-    found = edges.where("asks").select("k1", "k2", "g", "w", "pos").join(counted, ["g", "w"]).select("k1", "k2", "pos").distinct()
+    # A led content counts as often as it occurs.
+    edge = ["g", "w1", "w2"]
+    counted = stash(edges.groupBy(*edge).agg(F.sum("times").alias("n")).where("n > 1").select(*edge), "repeated")
+    found = edges.where("asks").select("k1", "k2", *edge, "pos").join(counted, edge).select("k1", "k2", "pos").distinct()
     found = found.groupBy("k1", "k2").agg(F.collect_list("pos").alias("more"))
     asking = judged.where("text is not null").join(found, ["k1", "k2"], "left").select("doc_id", "text", "spans", "more")
 

@@ -8,6 +8,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from quillon.llm import substring_dedup
 from quillon.llm.substring_dedup import Words, remove_repeats
 
 
@@ -60,12 +63,53 @@ def test_odd_rows(spark):
     assert remove_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [0, 3])
+def test_hashes_only_deal(spark, monkeypatch, bits):
+    """With 64-bit hashes cut to a few bits nearly everything collides; digests of the words still tell all apart."""
+    real = substring_dedup.mix
+    monkeypatch.setattr(substring_dedup, "mix", lambda x: real(x) & np.uint64((1 << bits) - 1))
+    r = random.Random(7)
+    same = r.choices("abcdefghij", k=60)
+    rows = [(k, " ".join(r.choices("abcdefghij", k=50) + (same if k % 3 else []))) for k in range(30)]
+    # the workers import the module anew, so the hashes are cut where the segments are made
+    whole = [Words(t).segments() for _, t in rows]
+    assert all(len(set(s.tolist())) <= 1 << bits for _, _, s in whole)
+    cut = substring_dedup._segments
+
+    def dealt(df, window):
+        return cut(df, window).withColumns({c: F.pmod(c, F.lit(1 << bits)) for c in ("g", "a", "b")})
+
+    monkeypatch.setattr(substring_dedup, "_segments", dealt)
+    assert got(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_many_copies_of_one_row(spark):
+    """Equal rows are joined once however many there are."""
+    text = " ".join(f"w{k % 700}" for k in range(900))
+    rows = [(7, text)] * 3000 + [(None, text)] * 1000 + [(8, "other " + text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = got(remove_repeats(df))
+    assert len(out) == 4001 and {x[2] for x in out} == {900} and {x[1] for x in out} == {900, 901}
+
+
+def test_paths_are_maximal_in_spans(spark):
+    """Each row's spans are the runs of repeated windows, joined over nonbranching nodes."""
+    r = random.Random(4)
+    shared = r.choices([f"v{k}" for k in range(500)], k=200)
+    rows = [(k, " ".join(r.choices([f"u{k}-{j}" for j in range(900)], k=40) + shared + [f"end{k}"])) for k in range(4)]
+    for x in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert [(s.first, s.end) for s in x.spans] == [(40, 40 + 200 - 34)]
+
+
 def test_segments_cover_all_windows_and_follow_content():
     r = random.Random(3)
     words = [str(r.randint(0, 10**6)) for _ in range(400)]
-    first, count, seed, whole = Words(" ".join(words)).segments()
+    own = Words(" ".join(words))
+    first, count, seed = own.segments()
     assert first[0] == 0 and (first[1:] == (first + count)[:-1]).all() and first[-1] + count[-1] == 366
+    whole = {tuple(x) for x in own.digests(first, count + 34).tolist()}
     inner = Words(" ".join(words[100:300]))
-    f2, _, s2, w2 = inner.segments()
-    assert set(s2.tolist()) <= set(seed.tolist()) and len(set(w2.tolist()) & set(whole.tolist())) >= len(w2) - 2
+    f2, c2, s2 = inner.segments()
+    mine = {tuple(x) for x in inner.digests(f2, c2 + 34).tolist()}
+    assert set(s2.tolist()) <= set(seed.tolist()) and len(mine & whole) >= len(mine) - 2
     assert inner.hashes(np.array([0]), 35) == Words(" ".join(words)).hashes(np.array([100]), 35)
