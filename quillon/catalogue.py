@@ -69,7 +69,7 @@ METRICS (
   sales.month_total AS SUM(CAST(o_totalprice AS DECIMAL(18,2))), sales_ly.year_ago AS SUM(CAST(o_totalprice AS DECIMAL(18,2))), sales_lm.month_ago AS SUM(CAST(o_totalprice AS DECIMAL(18,2))),
   growth AS ROUND(CAST(month_total - year_ago AS DOUBLE) / year_ago * 100, 6), rich_orders.rich_total AS SUM(CAST(o_totalprice AS DECIMAL(18,2))),
   tier_orders.tier_total AS SUM(CAST(o_totalprice AS DECIMAL(18,2))), tier_orders.tier_n AS COUNT(*), purchases.bought AS SUM(CAST(value AS DECIMAL(18,2))), purchases.bought_n AS COUNT(*),
-  flat_customer.flat_customers AS COUNT(c_custkey), snaps.balance NON ADDITIVE BY (snap_day DESC) AS SUM(bal),
+  flat_customer.flat_customers AS COUNT(c_custkey), snaps.balance NON ADDITIVE BY (snap_day ASC) AS SUM(bal),
   orders.rolling AS ROUND(AVG(CAST(order_total AS DOUBLE)) OVER (PARTITION BY EXCLUDING order_day ORDER BY order_day RANGE BETWEEN INTERVAL '6 days' PRECEDING AND CURRENT ROW), 4),
   orders.lag_2 AS LAG(order_total, 2) OVER (PARTITION BY EXCLUDING order_month ORDER BY order_month),
   orders.ytd AS SUM(order_total) OVER (PARTITION BY order_year ORDER BY order_month ROWS UNBOUNDED PRECEDING)

@@ -40,11 +40,11 @@ class Branch:
 
 
 class Compiler:
-    """Compiles queries on one view. ``columns``: physical columns by alias; ``policy``: SQL predicate and masks by alias."""
+    """Compiles queries on one view, by alias: physical columns, secured sources, columns not to be projected, least group sizes."""
 
-    def __init__(self, view: SemanticView, columns: dict[str, list[str]], rows: dict[str, str] | None = None, masks: dict[str, dict[str, str]] | None = None, hidden: dict[str, set[str]] | None = None):
+    def __init__(self, view: SemanticView, columns: dict[str, list[str]], sources: dict[str, str] | None = None, hidden: dict[str, set[str]] | None = None, least: dict[str, int] | None = None):
         self.view, self.columns = view, {k.lower(): [c.lower() for c in v] for k, v in columns.items()}
-        self.graph, self.rows, self.masks, self.hidden = JoinGraph(view), rows or {}, masks or {}, hidden or {}
+        self.graph, self.sources, self.hidden, self.least = JoinGraph(view), sources or {}, hidden or {}, least or {}
         self.variables: dict[str, str] = {}
 
     # names -----------------------------------------------------------------
@@ -141,11 +141,9 @@ class Compiler:
     # scans and joins ----------------------------------------------------------
 
     def scan(self, alias: str, entity_facts: list[Item]) -> str:
-        t = self.view.table(alias)
-        source = t.source.strip() if t.is_query else t.source
-        if alias in self.rows or self.masks.get(alias):
-            made = [f"{self.masks.get(alias, {}).get(c, quote(c))} AS {quote(c)}" for c in self.columns[alias]]
-            source = f"(SELECT {', '.join(made)} FROM {source}" + (f" WHERE {self.rows[alias]}" if alias in self.rows else "") + ")"
+        source = self.sources.get(alias, self.view.table(alias).source).strip()
+        if source.startswith("(") and close_of(tokens := lex(source), 0) < len(tokens) - 1:
+            source = text_of(tokens[: close_of(tokens, 0) + 1])  # a secured table brings its own name along
         if not entity_facts:
             return f"{source} AS {quote(alias)}"
         joins, added = "", []
@@ -217,6 +215,23 @@ class Compiler:
 
     # queries -------------------------------------------------------------------
 
+    def _checked(self, text: str, alias: str | None = None) -> str:
+        """An output expression, refused where a column that may not be projected reaches it otherwise than by COUNT."""
+        tokens, at = lex(text) if self.hidden else [], 0
+        while at < len(tokens):
+            t = tokens[at]
+            if t.is_word("COUNT") and at + 1 < len(tokens) and tokens[at + 1].text == "(":
+                at = close_of(tokens, at + 1)
+            elif t.kind == "name" and "." in t.text:
+                home, column = unquote(t.text).lower().split(".")[-2:]
+                if column in self.hidden.get(home, ()):
+                    raise AccessError(f"column '{column}' of '{home}' may not be projected")
+                for f in self.view.find("fact", f"{home}.{column[2:]}") if column.startswith("__") else []:
+                    for child in self.entities(f):
+                        self._checked(self.expr(f.expr, child, frozenset({f.label})))
+            at += 1
+        return text
+
     def compile(self, q: Query) -> str:
         if q.facts and q.metrics:
             raise QueryError("Cannot specify FACTS and METRICS in the same SEMANTIC_VIEW clause")
@@ -225,10 +240,6 @@ class Compiler:
         self.bind(q.variables)
         dims = [self.one("dimension", d) for d in q.dimensions]
         names = self._output_names(dims)
-        for d in dims:
-            for c in self.hidden.get((d.entity or "").lower(), ()):
-                if c in {t.text.lower().split(".")[-1] for t in lex(d.expr)}:
-                    raise AccessError(f"column '{c}' of '{d.entity}' may not be projected")
         if q.facts:
             return self._rows(dims, names, [self.one("fact", f) for f in q.facts], q.where)
         if not q.metrics:
@@ -294,9 +305,9 @@ class Compiler:
         base = next((h for h in sorted(homes) if all(self.graph.paths(h, x) for x in homes)), None)
         if base is None:
             raise QueryError("facts of unrelated tables cannot be queried together")
-        made = [(self._dim(d, base), n) for d, n in zip(dims, names, strict=True)] + [(self.expr(f"{f.entity}.{f.name}", f.entity) if not has_aggregate(f.expr) else self._column(f.entity.lower(), f.name.lower(), frozenset(), f.name), f.name.lower()) for f in facts]
+        made = [(self._checked(self._dim(d, base)), n) for d, n in zip(dims, names, strict=True)] + [(self.expr(f"{f.entity}.{f.name}", f.entity) if not has_aggregate(f.expr) else self._column(f.entity.lower(), f.name.lower(), frozenset(), f.name), f.name.lower()) for f in facts]
         paths = self._paths(base, [*dims, *facts, *self._filtered(where)], None)
-        texts = [x for x, _ in made] + [self._where(where)]
+        texts = [self._checked(x) for x, _ in made] + [self._where(where)]
         return f"SELECT {', '.join(f'{x} AS {quote(n)}' for x, n in made)} FROM {self.joined(base, paths, texts)}{self._where(where)}"
 
     def _distinct(self, dims: list[Item], names: list[str], where: str | None) -> str:
@@ -305,12 +316,12 @@ class Compiler:
         base = next((e for e in need if all(self.graph.paths(e, x) for x in need)), None)
         if base is None:
             raise QueryError(f"The dimension entity '{need[-1].upper()}' must be related to and have an equal or lower level of granularity compared to the base metric or dimension entity '{need[0].upper()}'.")
-        made = [self._dim(d, base) for d in dims]
+        made = [self._checked(self._dim(d, base)) for d in dims]
         return f"SELECT DISTINCT {', '.join(f'{x} AS {quote(n)}' for x, n in zip(made, names, strict=True))} FROM {self.joined(base, self._paths(base, items, None), [*made, self._where(where)])}{self._where(where)}"
 
     def _branch(self, b: Branch, dims: list[Item], names: list[str], where: str | None, ids: dict[str, str]) -> str:
-        made = [self._dim(d, b.entity) for d in dims]
-        aggs = [self.expr(m.expr, m.entity, frozenset()) for m in b.metrics]
+        made = [self._checked(self._dim(d, b.entity)) for d in dims]
+        aggs = [self._checked(self.expr(m.expr, m.entity, frozenset())) for m in b.metrics]
         filters = self._where(where)
         rank = [(d, o) for d, o in b.non_additive if not any(x.name.lower() == d.lower().split(".")[-1] for x in dims)]
         ranked = [self._dim(self.one("dimension", d), b.entity) for d, _ in rank]
@@ -319,17 +330,26 @@ class Compiler:
         columns = [f"{x} AS {quote(n)}" for x, n in zip(made, names, strict=True)]
         group = f" GROUP BY {', '.join(str(k + 1) for k in range(len(made) + len(rank)))}" if made or rank else ""
         values = [f"{x} AS {ids[m.label]}" for x, m in zip(aggs, b.metrics, strict=True)]
+        met = {b.entity, *(e.end for path in paths.values() for e in path)}
+        least = max((k for alias, k in self.least.items() if alias in met), default=0)
         if not rank:
-            return f"SELECT {', '.join([*columns, *values])} FROM {source}{filters}{group}"
-        # Each snapshot is aggregated by itself, then the last one of a group is taken: partial sums, no ranking of rows.
+            having = f" HAVING count(*) >= {least}" if least else ""
+            return f"SELECT {', '.join([*columns, *values])} FROM {source}{filters}{group}{having}"
+        # Each snapshot is aggregated by itself, then the last one in the order said is taken: partial sums, no ranking of
+        # rows. Of several orders the last decides within equal values of those before it, so they are folded from the last on.
         snaps = [f"{x} AS __s{k}" for k, x in enumerate(ranked)]
-        inner = f"SELECT {', '.join([*columns, *snaps, *values])} FROM {source}{filters}{group}"
-        key = "__s0" if len(snaps) == 1 else f"struct({', '.join(f'__s{k}' for k in range(len(snaps)))})"
-        pick = "min_by" if rank[0][1].upper().startswith("ASC") else "max_by"
-        last = [f"{pick}({ids[m.label]}, {key}) AS {ids[m.label]}" for m in b.metrics]
-        by = f" GROUP BY {', '.join(str(k + 1) for k in range(len(names)))}" if names else ""
+        rows = ["count(*) AS __n"] if least else []
+        out = f"SELECT {', '.join([*columns, *snaps, *values, *rows])} FROM {source}{filters}{group}"
         known = " AND ".join(f"__s{k} IS NOT NULL" for k in range(len(snaps)))
-        return f"SELECT {', '.join([*[quote(n) for n in names], *last])} FROM ({inner}) WHERE {known}{by}"
+        for k in range(len(snaps) - 1, -1, -1):
+            pick = "min_by" if rank[k][1].upper().startswith("DESC") else "max_by"
+            left = [*[quote(n) for n in names], *[f"__s{j}" for j in range(k)]]
+            last = [f"{pick}({ids[m.label]}, __s{k}) AS {ids[m.label]}" for m in b.metrics]
+            by = f" GROUP BY {', '.join(str(j + 1) for j in range(len(left)))}" if left else ""
+            having = f" HAVING sum(__n) >= {least}" if least and k == 0 else ""
+            folded = ["sum(__n) AS __n"] if least and k else []
+            out = f"SELECT {', '.join([*left, *last, *folded])} FROM ({out})" + (f" WHERE {known}" if k == len(snaps) - 1 else "") + by + having
+        return out
 
     @staticmethod
     def _stitch(parts: list[str], branches: list[Branch], names: list[str], ids: dict[str, str]) -> str:
