@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.errors import SemanticError
-from quillon.operators.graph import last_per_key
 from quillon.operators.lineage import cut
 
 #: Pipe health: pending files, share of errors, minutes behind.
@@ -19,9 +18,11 @@ NAME = re.compile(r"[A-Za-z0-9_]{1,20}")
 
 
 def dedup_loads(loads: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Exactly once by content: the first load of each hash of the key columns."""
-    hashed = loads.withColumn("_hash", F.md5(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])))
-    return last_per_key(hashed, ["_hash"], order).drop("_hash")
+    """Exactly once by content: the first load (ascending) of each content of the key columns; null and empty are two contents."""
+    content = F.sha2(F.to_json(F.struct(*[F.col(k).cast("string").alias(f"k{n}") for n, k in enumerate(keys)]), {"ignoreNullFields": "false"}), 256)
+    # A minimum combines before the shuffle, so a very common record is no task of its own.
+    first = loads.groupBy(content.alias("_hash")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in loads.columns]), F.struct(*order)).alias("_first"))
+    return first.select("_first.*")
 
 
 def not_loaded(listing: DataFrame, history: DataFrame) -> DataFrame:

@@ -38,6 +38,19 @@ def _walk(start: DataFrame, links: DataFrame, levels: int) -> DataFrame:
     return out
 
 
+def _reach(start: DataFrame, links: DataFrame, levels: int) -> DataFrame:
+    """id, depth: what links (at, to) reach from start (id), at its least depth from 1 on. Nodes met before are left out, so paths are not listed."""
+    front, out = start.select("id"), None
+    for depth in range(1, levels + 1):
+        new = front.join(links, F.col("id") == F.col("at")).select(F.col("to").alias("id")).distinct()
+        new = cut(new if out is None else new.join(out.select("id"), "id", "left_anti"))
+        if new.isEmpty():
+            break
+        front, level = new, new.withColumn("depth", F.lit(depth))
+        out = level if out is None else out.unionByName(level)
+    return start.select("id", F.lit(0).alias("depth")).limit(0) if out is None else out
+
+
 def _roots(nodes: DataFrame, name: str) -> DataFrame:
     """The node of a name, whatever its case; the smallest id of several."""
     found = nodes.where(F.lower("name") == name.lower()).agg(F.min("node_id").alias("id")).where("id is not null")
@@ -45,30 +58,37 @@ def _roots(nodes: DataFrame, name: str) -> DataFrame:
 
 
 def descendants(nodes: DataFrame, edges: DataFrame, root: str, edge_type: str = "subClassOf") -> DataFrame:
-    """node_id, node_name, depth, path of a root and all below it, each at its least depth."""
+    """node_id, node_name, depth, path of a root (depth 0) and all below it, a row for each way down; a cycle is walked once."""
     links = edges.where(F.col("edge_type") == edge_type).select(F.col("dst_id").alias("at"), F.col("src_id").alias("to")).distinct()
-    found = _walk(_roots(nodes, root), links, MAX_DESCENDANTS - 1)
+    found = _walk(_roots(nodes, root), links, MAX_DESCENDANTS)
     names = nodes.select("node_id", F.col("name").alias("node_name"))
-    best = found.groupBy("id").agg(F.min(F.struct("depth", "path")).alias("b")).select("id", "b.depth", "b.path")
-    steps = best.select("id", "depth", F.posexplode("path").alias("k", "step")).join(names.withColumnRenamed("node_id", "step"), "step")
-    steps = steps.groupBy("id", "depth").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "node_name"))), lambda x: x["node_name"]), " > ").alias("path"))
+    steps = found.select("id", "depth", F.col("path").alias("way"), F.posexplode("path").alias("k", "step")).join(names.withColumnRenamed("node_id", "step"), "step")
+    steps = steps.groupBy("id", "depth", "way").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "node_name"))), lambda x: x["node_name"]), " -> ").alias("path"))
     return steps.join(names, F.col("id") == F.col("node_id")).select("node_id", "node_name", "depth", "path")
 
 
+def _up(edges: DataFrame, edge_type: str) -> DataFrame:
+    return edges.where(F.col("edge_type") == edge_type).select(F.col("src_id").alias("at"), F.col("dst_id").alias("to")).distinct()
+
+
 def ancestors(nodes: DataFrame, edges: DataFrame, child: str, edge_type: str = "subClassOf") -> DataFrame:
-    """node_id, node_name, depth of a node and all above it, at least depth."""
-    links = edges.where(F.col("edge_type") == edge_type).select(F.col("src_id").alias("at"), F.col("dst_id").alias("to")).distinct()
-    found = _walk(_roots(nodes, child), links, MAX_ANCESTORS - 1).groupBy("id").agg(F.min("depth").alias("depth"))
+    """node_id, node_name, depth of all above a node, at least depth; the node itself only where a cycle leads back."""
+    found = _reach(_roots(nodes, child), _up(edges, edge_type), MAX_ANCESTORS)
     return found.join(nodes.select("node_id", F.col("name").alias("node_name")), F.col("id") == F.col("node_id")).select("node_id", "node_name", "depth")
 
 
 def hierarchy_path(nodes: DataFrame, edges: DataFrame, low: str, high: str, edge_type: str = "subClassOf") -> DataFrame:
-    """step, node_id, node_name of one shortest way up from low to high; no rows where there is none."""
-    links = edges.where(F.col("edge_type") == edge_type).select(F.col("src_id").alias("at"), F.col("dst_id").alias("to")).distinct()
-    goal = _roots(nodes, high).select(F.col("id").alias("goal"))
-    found = _walk(_roots(nodes, low), links, MAX_PATH - 1).join(goal, F.col("id") == F.col("goal")).agg(F.min(F.struct("depth", "path")).alias("b"))
-    steps = found.select(F.posexplode("b.path").alias("step", "node_id"))
-    return steps.join(nodes.select("node_id", F.col("name").alias("node_name")), "node_id").select("step", "node_id", "node_name")
+    """step, node_id, node_name, relationship: what is on the way up from low (START) until high is met; no rows where it is not.
+
+    Every node at its least step; where ways branch, all that are no further up than high.
+    """
+    start = _roots(nodes, low)
+    found = _reach(start, _up(edges, edge_type), MAX_PATH).withColumnRenamed("depth", "step")
+    found = start.select("id", F.lit(0).alias("step")).unionByName(found.join(start.select("id"), "id", "left_anti"))
+    end = found.join(_roots(nodes, high).select("id"), "id").agg(F.min("step").alias("last")).where("last is not null")
+    kept = found.join(F.broadcast(end), F.col("step") <= F.col("last"))  # one row
+    named = kept.join(nodes.select("node_id", F.col("name").alias("node_name")), F.col("id") == F.col("node_id"))
+    return named.select("step", "node_id", "node_name", F.when(F.col("step") == 0, "START").otherwise(edge_type).alias("relationship"))
 
 
 def direct_children(nodes: DataFrame, edges: DataFrame, parent: str, edge_type: str = "subClassOf") -> DataFrame:
@@ -81,13 +101,15 @@ def transitive(edges: DataFrame, edge_type: str, rule_id: str, levels: int = MAX
     """Inferred edges (src_id, dst_id, edge_type, weight 1 / least depth, rule_id): no loops, none asserted already."""
     own = edges.where(F.col("edge_type") == edge_type).select("src_id", "dst_id").distinct()
     links = own.select(F.col("src_id").alias("at"), F.col("dst_id").alias("to"))
-    reach = own.withColumn("depth", F.lit(1))
-    front = reach
-    for depth in range(2, levels + 1):  # pairs, not paths: one row for each pair and level
-        front = front.join(links, front["dst_id"] == links["at"]).select("src_id", F.col("to").alias("dst_id"), F.lit(depth).alias("depth")).distinct()
-        reach = reach.unionByName(front)
-    best = reach.where("src_id <> dst_id").groupBy("src_id", "dst_id").agg(F.min("depth").alias("depth"))
-    new = best.join(own, ["src_id", "dst_id"], "left_anti")
+    known, front, new = own, own, None
+    for depth in range(2, levels + 1):  # pairs, not paths, and each only once: at its least depth
+        met = front.join(links, front["dst_id"] == links["at"]).select("src_id", F.col("to").alias("dst_id")).distinct()
+        front = cut(met.join(known, ["src_id", "dst_id"], "left_anti"))
+        if front.isEmpty():
+            break
+        known, level = known.unionByName(front), front.withColumn("depth", F.lit(depth))
+        new = level if new is None else new.unionByName(level)
+    new = own.withColumn("depth", F.lit(1)).limit(0) if new is None else new.where("src_id <> dst_id")
     return new.select("src_id", "dst_id", F.lit(edge_type).alias("edge_type"), (1.0 / F.col("depth")).alias("weight"), F.lit(rule_id).alias("rule_id"))
 
 
