@@ -357,3 +357,116 @@ op("overlap_count", lambda s, d: ops.overlap(_read(s, d, "customer").withColumnR
 op("reach_rate", lambda s, d: ops.reach(_read(s, d, "customer").withColumnRenamed("c_custkey", "k"), _read(s, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("k")), "k", ["c_mktsegment"]), "SELECT c_mktsegment, count(DISTINCT c_custkey) AS audience, count(DISTINCT CASE WHEN p THEN c_custkey END) AS reached, round(count(DISTINCT CASE WHEN p THEN c_custkey END) / CAST(count(DISTINCT c_custkey) AS DOUBLE), 6) AS rate FROM (SELECT *, c_custkey IN (SELECT user_id FROM events WHERE event_type = 'purchase') AS p FROM customer) GROUP BY 1")
 op("unloaded_files", lambda s, d: ops.not_loaded(_read(s, d, "customer").select(F.col("c_custkey").alias("path")), _read(s, d, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("path"))), "SELECT c_custkey AS path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
 op("version_compare", lambda s, d: _read(s, d, "part").select("p_partkey", ops.compare_versions(F.concat_ws(".", (F.col("p_size") % 5).cast("string"), F.col("p_size").cast("string")), F.lit("2.10")).alias("c")), "SELECT p_partkey, CASE WHEN p_size % 5 < 2 OR (p_size % 5 = 2 AND p_size < 10) THEN -1 WHEN p_size % 5 > 2 OR p_size > 10 THEN 1 ELSE 0 END AS c FROM part")
+
+
+# stored tables, ontologies, inventories ----------------------------------------------------
+
+from quillon.governance import inventory  # noqa: E402
+from quillon.sources import ontology, tables  # noqa: E402
+
+YAML_VIEW = """
+name: sales
+description: Orders by the customer's segment
+tables:
+  - name: ord
+    base_table: {{table: {p}orders}}
+    primary_key: {{columns: [o_orderkey]}}
+    facts: [{{name: amount, expr: "CAST(o_totalprice AS DECIMAL(18,2))"}}]
+    metrics:
+      - {{name: order_total, expr: SUM(amount), synonyms: [turnover]}}
+      - {{name: orders_n, expr: COUNT(o_orderkey)}}
+  - name: cust
+    base_table: {{table: {p}customer}}
+    primary_key: {{columns: [c_custkey]}}
+    dimensions: [{{name: segment, expr: c_mktsegment}}]
+relationships:
+  - name: buyer
+    left_table: ord
+    right_table: cust
+    relationship_columns: [{{left_column: o_custkey, right_column: c_custkey}}]
+"""
+
+
+def _yaml(spark: SparkSession, d: str) -> DataFrame:
+    """Through text twice: the view that was written reads back as the one that was read."""
+    e = engine(spark, d)
+    e.deploy_yaml(YAML_VIEW.format(p=e.prefix))
+    e.deploy_yaml(e.yaml("sales"))
+    return e.query("sales", ["segment"], ["order_total", "orders_n"])
+
+
+op("yaml_view", _yaml, f"SELECT c_mktsegment AS segment, {TOTAL} AS order_total, count(*) AS orders_n FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1", ["order_total"])
+
+
+def _store(spark: SparkSession, name: str) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/quillon_tables/{name}_{uuid.uuid4().hex}"
+
+
+def _insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    path = _store(spark, "customers")
+    tables.insert(rows.where("c_custkey % 3 = 0").withColumn("c_mktsegment", F.lit("first")), path)
+    tables.insert_if_absent(rows, path, ["c_custkey"])
+    tables.insert_if_absent(rows, path, ["c_custkey"])
+    return spark.read.parquet(path)
+
+
+op("insert_if_absent", _insert_if_absent, "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'first' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+
+
+def _rerun(spark: SparkSession, d: str) -> DataFrame:
+    """The rule runner twice over: each rule replaces its own edges, and a deleted rule's are gone."""
+    path, edges = _store(spark, "inferred"), _kg(spark, d)[1]
+    rules = [{"kind": "TRANSITIVE", "edge_type": "subClassOf", "rule_id": "t"}, {"kind": "INVERSE", "edge_type": "subClassOf", "inverse_type": "hasSubClass", "rule_id": "i"}]
+    for _ in range(2):
+        graph.run_rules_into(edges, rules, path)
+    tables.delete_part(spark, path, "rule_id", "i")
+    return tables.read(spark, path, "src_id string, dst_id string, edge_type string, weight double, rule_id string").select("src_id", "dst_id", "edge_type", "weight", "rule_id")
+
+
+op("rules_rerun", _rerun, ORACLES["transitive_edges"].replace("'r1'", "'t'"))
+
+
+def _schema(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    keys = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "dim_order_items": ["order_id", "part_id"], "parts": ["part_id"], "orders": ["order_id"]}
+    columns = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "nation_name", "region_id"], "customer": ["c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_phone", "nation_id"], "dim_order_items": ["order_id", "part_id", "quantity"], "parts": ["part_id", "p_name", "p_brand", "p_size", "p_type", "p_container"], "orders": ["order_id", "cust", "a", "b", "c", "d"]}
+    links = [("nation", "region_id", "region", "r_regionkey", 0), ("customer", "nation_id", "db.s.nation", "n_nationkey", 0), ("dim_order_items", "order_id", "orders", "order_id", 0), ("dim_order_items", "part_id", "parts", "part_id", 1), ("orders", "cust", "customer", "c_custkey", 0)]
+    pairs = lambda d: spark.createDataFrame([(t, c) for t, cs in d.items() for c in cs], "table_name string, column_name string")
+    return pairs(columns), pairs(keys), spark.createDataFrame(links, "table_name string, column_name string, ref_table string, ref_column string, position int")
+
+
+op("ontology_classes", lambda s, d: ontology.classify(*_schema(s)), "SELECT * FROM (VALUES ('region', 'entity', 'Region'), ('nation', 'lookup', 'Nation'), ('customer', 'entity', 'Customer'), ('dim_order_items', 'relationship', 'OrderItem'), ('parts', 'entity', 'Part'), ('orders', 'entity', 'Order')) t(table_name, kind, class_name)".replace("('region', 'entity'", "('region', 'lookup'"))
+op("ontology_relations", lambda s, d: ontology.infer_relations(ontology.classify(*_schema(s)), _schema(s)[2]), "SELECT * FROM (VALUES ('has_region', 'Nation', 'Region', 'N:1', 'nation'), ('has_nation', 'Customer', 'Nation', 'N:1', 'customer'), ('belongs_to_customer', 'Order', 'Customer', 'N:1', 'orders'), ('orderitem', 'Order', 'Part', 'N:N', 'dim_order_items')) t(name, domain_class, range_class, cardinality, source_table)")
+
+
+def _taxonomy(spark: SparkSession, d: str) -> DataFrame:
+    """Nations under regions under a root, as classes."""
+    n, r = _read(spark, d, "nation"), _read(spark, d, "region")
+    up = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("class_id"), F.col("r_name").alias("parent"))
+    return up.unionByName(r.select(F.col("r_name").alias("class_id"), F.lit("WORLD").alias("parent"))).unionByName(spark.createDataFrame([("WORLD", None)], "class_id string, parent string"))
+
+
+op("ontology_depth", lambda s, d: ontology.depth(_taxonomy(s, d)), "SELECT 'WORLD' AS class_id, 0 AS depth UNION ALL SELECT r_name, 1 FROM region UNION ALL SELECT n_name, 2 FROM nation")
+op("ontology_coverage", lambda s, d: ontology.coverage(_taxonomy(s, d), s.createDataFrame([("ASIA",)], "class_id string")), "SELECT 'WORLD' AS class_id, 'abstract' AS status UNION ALL SELECT r_name, CASE r_name WHEN 'ASIA' THEN 'mapped' ELSE 'abstract' END FROM region UNION ALL SELECT n_name, CASE r_name WHEN 'ASIA' THEN 'covered' ELSE 'unmapped' END FROM nation JOIN region ON n_regionkey = r_regionkey")
+
+
+def _class_views(spark: SparkSession, d: str) -> DataFrame:
+    mapping = spark.createDataFrame([("Place", "region"), ("Place", "nation"), ("Buyer", "customer")], "class_id string, node_type string")
+    names = ontology.class_views(_kg(spark, d)[0], mapping)
+    return spark.table(names[-1]).groupBy("class_id").count().withColumnRenamed("count", "n").unionByName(spark.table(names[0]).select(F.lit("only buyers").alias("class_id"), F.lit(1).alias("n")).groupBy("class_id").agg(F.sum("n").alias("n")))
+
+
+op("ontology_views", _class_views, "SELECT 'Place' AS class_id, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) AS n UNION ALL SELECT 'Buyer', count(*) FROM customer UNION ALL SELECT 'only buyers', count(*) FROM customer")
+
+
+def _daily(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day"), F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+
+
+op("anomaly_days", lambda s, d: inventory.anomalies(_daily(s, d), "n", ["status"]), "SELECT status, count(*) AS days, count(*) FILTER (abs(n - m) > 0.1 * m) AS strays FROM (SELECT *, avg(n) OVER (PARTITION BY status) AS m FROM (SELECT CAST(o_orderdate AS DATE) AS day, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1, 2)) GROUP BY 1")
+op("unused_objects", lambda s, d: inventory.unused(_read(s, d, "customer").select(F.col("c_custkey").alias("name")), _read(s, d, "orders").where("o_totalprice > 400000").groupBy(F.col("o_orderkey") % 50).agg(F.collect_set("o_custkey").alias("used"))), "SELECT c_custkey AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 400000)")
+op("coverage_share", lambda s, d: inventory.coverage({"customer": _read(s, d, "customer").withColumn("x", F.col("c_acctbal")), "part": _read(s, d, "part").withColumn("x", F.col("p_retailprice"))}, F.col("x") > 1000), "SELECT 'customer' AS kind, count(*) AS n, count(*) FILTER (c_acctbal > 1000) AS covered, round(count(*) FILTER (c_acctbal > 1000) / count(*) * 100, 2) AS share FROM customer UNION ALL SELECT 'part', count(*), count(*) FILTER (p_retailprice > 1000), round(count(*) FILTER (p_retailprice > 1000) / count(*) * 100, 2) FROM part")
+op("refresh_window", lambda s, d: inventory.refreshable(_read(s, d, "events").select("event_id", "ts"), F.lit("2024-01-20").cast("date"), "ts").select("event_id", "refreshable"), "SELECT event_id, date_diff('day', CAST(ts AS DATE), DATE '2024-01-20') <= 7 AS refreshable FROM events WHERE date_diff('day', CAST(ts AS DATE), DATE '2024-01-20') <= 14")
+op("stream_activity", lambda s, d: inventory.stream_activity(_read(s, d, "events").select(F.col("event_type").alias("name"), F.col("event_id").alias("batch_id"), (F.col("event_id") % 3).alias("rows"), F.lit(0.5).alias("seconds"))), "SELECT event_type AS name, count(*) AS batches, CAST(sum(event_id % 3) AS BIGINT) AS rows, count(*) FILTER (event_id % 3 = 0) AS empty, round(count(*) * 0.5, 3) AS seconds FROM events GROUP BY 1")
+op("pipe_health", lambda s, d: ops.pipe_health(_read(s, d, "part").select(F.col("p_partkey").alias("pipe"), (F.col("p_size") * 40).alias("pending"), F.col("p_size").alias("files"), (F.col("p_partkey") % 3).alias("errors"), (F.col("p_size") % 40).alias("lag_minutes"))).select("pipe", "healthy"), "SELECT p_partkey AS pipe, p_size * 40 <= 1000 AND coalesce((p_partkey % 3) / nullif(p_size, 0), 0) <= 0.05 AND p_size % 40 <= 30 AS healthy FROM part")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.lineage import cut
+from quillon.sources import tables
 
 MAX_DESCENDANTS, MAX_ANCESTORS, MAX_PATH, MAX_TRANSITIVE = 15, 20, 20, 5
 
@@ -139,6 +140,18 @@ def run_rules(edges: DataFrame, rules: list[dict]) -> tuple[DataFrame | None, li
     return out, report
 
 
+def run_rules_into(edges: DataFrame, rules: list[dict], path: str) -> list[dict]:
+    """Run rules one by one, each replacing what an earlier run of it left in the table at path (partitions by rule_id); a report line each."""
+    report = []
+    order = {"INVERSE": 0, "TRANSITIVE": 1, "PROPERTY_CHAIN": 2}
+    for rule in sorted(rules, key=lambda r: order.get(r["kind"], 3)):
+        made, told = run_rules(edges, [rule])
+        if made is not None:
+            tables.replace_part(made, path, "rule_id", rule["rule_id"])
+        report += told
+    return report
+
+
 def check_cardinality(edges: DataFrame, edge_type: str, check_id: str, today: Column | None = None) -> DataFrame:
     """Sources with more than one current edge of a single-valued type."""
     own = current(edges.where(F.col("edge_type") == edge_type), today)
