@@ -26,7 +26,7 @@ TRAINING_ROWS = 20_000
 #: Words that tell domains apart, the least slots of the table that holds them, and the documents a word must be in.
 VOCABULARY, SLOTS, FEWEST = 256, 1 << 12, 4
 #: What a mark must tell, in nats, beyond the logarithm of how many marks there are: few tell so much by chance.
-SURE = 2.0
+SURE = -2.0
 #: What stands between words.
 MARKS = r"[\x00-/:-@\[-`{-~]+"
 #: Most gradient steps, and the distance from each target, relative to itself, that is near enough.
@@ -34,10 +34,12 @@ STEPS, NEAR = 60, 1e-4
 #: Weight of a dual's own size against the domains' overlap.
 RIDGE = 1e-6
 DOMAINS = ("clean", "junk", "toxic")
+#: Of what a domain has, where nothing else is asked for.
+SHARES = {"clean": 1.0, "junk": 0.05, "toxic": 0.05}
 CAPITALS, SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "!%$#&*|"
 SHAPES = 27
-#: Languages with weights of their own; the pseudo-count of a mark in a language and domain.
-LANGUAGES, PSEUDO = 16, 0.3
+#: Most languages with weights of their own (the model is a literal; the others use the shared weights); the pseudo-count of a mark.
+LANGUAGES, PSEUDO = 64, 0.3
 #: A word's first letters tell too: inflected and compound forms of one stem are too rare to be learned one by one.
 STEMS = (4, 6)
 
@@ -90,18 +92,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> dict:
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     taught = docs.select("doc_id", "text", lang.alias("_lang")).join(F.broadcast(held), "doc_id")  # bounded by most
     taught = stash(described(taught).select("_lang", "_domain", "_shape", "_marks"), "taught")
-    cells: dict = {}
-    for r in taught.groupBy("_lang", "_domain", "_shape").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(10_000).collect():
-        for own in {None, r["_lang"]}:
-            key = (own, r["_domain"], r["_shape"])
-            cells[key] = cells.get(key, 0) + r["n"]
-    totals = {}
-    for (own, d, _), c in cells.items():
-        totals.setdefault(own, dict.fromkeys(DOMAINS, 0))[d] += c
-    every = sum(totals.get(None, {}).values())
+    cells: dict = {(None, r["_domain"], r["_shape"]): r["n"] for r in taught.groupBy("_domain", "_shape").agg(F.count("*").alias("n")).collect()}
+    totals = {None: {d: sum(n for (_, x, _), n in cells.items() if x == d) for d in DOMAINS}}
+    every = sum(totals[None].values())
     if not every:
         return {"langs": [None], "prior": [[0.0] * len(DOMAINS)], "shapes": [[[0.0] * len(DOMAINS)] * SHAPES], "words": {}}
-    langs = [None, *sorted((x for x, t in totals.items() if x is not None and min(t[d] for d in DOMAINS) >= FEWEST), key=lambda x: (-sum(totals[x].values()), x))[:LANGUAGES]]
+    by_domain = [F.sum((F.col("_domain") == d).cast("long")).alias(d) for d in DOMAINS]
+    own = taught.where("_lang is not null").groupBy("_lang").agg(F.count("*").alias("n"), *by_domain).where(F.least(*DOMAINS) >= FEWEST)
+    for r in own.orderBy(F.desc("n"), "_lang").limit(LANGUAGES).collect():
+        totals[r["_lang"]] = {d: r[d] for d in DOMAINS}
+    langs = list(totals)
+    if len(langs) > 1:
+        for r in taught.where(F.col("_lang").isin(langs[1:])).groupBy("_lang", "_domain", "_shape").agg(F.count("*").alias("n")).collect():
+            cells[r["_lang"], r["_domain"], r["_shape"]] = r["n"]
     count = sum((F.col(d) for d in DOMAINS), F.lit(0))
     by_lang = taught.select("_lang", "_domain", F.explode("_marks").alias("h")).groupBy("_lang", "h")
     by_lang = stash(by_lang.agg(*[F.sum((F.col("_domain") == d).cast("long")).alias(d) for d in DOMAINS]), "marks")
@@ -260,34 +263,41 @@ def finish_rates(known: DataFrame, targets: dict[str, float], history: list[list
     return [*history, dual.tolist()]
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, with_text: bool = True, steps: int = STEPS) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, with_text: bool = True, steps: int = STEPS, shares: dict[str, float] | None = None, taught: DataFrame | None = None) -> DataFrame:
     """docs with n_tokens, p_clean, p_junk, p_toxic and rate; every row stays. Texts are scanned once.
 
     targets: weight of each domain (they need not add up to 1); ``total``
     tokens are wanted in all, those of docs where not given. Without targets
-    each domain should have what the documents that are likely clean bring
-    along of it; where no label meets a document, every rate is 1. Null
-    texts have no tokens; repeated rows get the same rate; no rows give none.
+    each domain's total is to be its ``shares`` of what it has (SHARES where not
+    given). Where no label meets a document nothing tells domains apart and,
+    without targets, every rate is 1. The classifier learns from the labelled
+    rows of ``taught``, or else of docs. Null texts have no tokens; repeated rows
+    get the same rate; no rows give none. ``expected`` says what rates come to.
     """
     docs = docs.drop("rate")
-    model = fit(docs, labels)
+    model = fit(docs if taught is None else taught, labels)
     # Stored once, with the text where it is asked for: later steps read the short columns alone.
     told = posteriors(docs, model)
     known = stash(told if with_text else told.drop("text"), "posteriors")
     sums = known.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]).first()
     have = {d: sums[d] or 0.0 for d in DOMAINS}
-    if targets is None:
-        # What the likely clean documents bring along of every domain: whole rates for them and none for the rest meet it.
-        likely = known.where("p_clean >= 0.5").agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]).first()
-        # A prior of zeros: no label met a document, so nothing tells domains apart and every document stays whole.
-        want = {d: likely[d] or 0.0 for d in DOMAINS} if any(model["prior"][0]) else have
-    else:
+    if targets is not None:
         weight = sum(targets.values()) or 1.0
         want = {d: targets.get(d, 0.0) / weight * (sum(have.values()) if total is None else total) for d in DOMAINS}
+    elif any(model["prior"][0]):
+        want = {d: have[d] * (shares or SHARES).get(d, 1.0) for d in DOMAINS}
+    else:
+        want = have  # a prior of zeros: no label met a document
     history = finish_rates(known, want, fit_rates(known, want, steps))
     return known.withColumn("rate", rate_of(history))
 
 
+def expected(mixed: DataFrame) -> DataFrame:
+    """domain, tokens: what the rates of mixed rows come to, to hold against the targets."""
+    sums = mixed.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}") * F.col("rate")).alias(d) for d in DOMAINS])
+    return sums.select(F.expr(f"stack({len(DOMAINS)}, {', '.join(f'{d!r}, {d}' for d in DOMAINS)}) AS (domain, tokens)"))
+
+
 def draw(mixed: DataFrame, nearest: bool = False) -> DataFrame:
     """Each row as often as its rate says: rounded, or (the default) up with the chance of its fraction, by a hash of text."""
     chance = F.lit(0.5) if nearest else F.pmod(F.xxhash64(F.lit("draw"), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
