@@ -34,11 +34,13 @@ URL_RULES = [
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every text of documents: doc_id, counts, base_sha256, spans, n_random. Null texts have none."""
     found = scan_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents through the token files: written in doc_id order, read back as doc_id, start, n_tokens, ids_crc32."""
     path = f"{scratch_dir(spark)}/quillon/token-files-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -46,38 +48,46 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each of documents against its edited text and the next document, in descending doc_id order."""
     return compare_with_next(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut and packed in sequences of at most 1024 tokens."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of all documents, links at three bits or fewer."""
     return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity, threshold and verdict of all documents under models of the trusted labels."""
     labels = read_table(spark, sf_dir, "labels")
     return classify(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), labels)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors and rates of all documents for nine tenths clean tokens."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     mixed = mix(docs, read_table(spark, sf_dir, "labels"), {"clean": 0.9, "junk": 0.05, "toxic": 0.05}, with_text=False)
     return mixed.select("doc_id", "source", "n_tokens", "p_clean", "p_junk", "p_toxic", "rate")
 
 
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_links, component_id and kept of all embeddings at cosine 0.93 within a label."""
     return near_vectors(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each of documents without its repeated windows of 35 words."""
     return remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every url of pages under URL_RULES."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
@@ -93,6 +103,26 @@ QUERIES["op7_mixing"] = op7_mixing
 QUERIES["op8_embeddings"] = op8_embeddings
 QUERIES["op9_substrings"] = op9_substrings
 QUERIES["op10_url_filter"] = op10_url_filter
+ORACLES["op9_substrings"] = r"""
+WITH texts AS (SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+spots AS (SELECT k, unnest(range(1, len(w) - 33)) AS p, w FROM texts WHERE len(w) >= 35),
+windows AS (SELECT k, p, md5(array_to_string(w[p:p + 34], ' ')) AS h FROM spots),
+twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT k, unnest(range(p, p + 35)) AS i FROM windows SEMI JOIN twice USING (h)),
+lost AS (SELECT k, list(i) AS l FROM gone GROUP BY k),
+told AS (SELECT doc_id, w, CASE WHEN l IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(l, x[2])), lambda x: x[1]) END AS kept FROM texts LEFT JOIN lost USING (k))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM told
+"""
+ORACLES["op8_embeddings"] = r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+unit AS (SELECT vec_id, label, list_transform(e, lambda x: x / n) AS u FROM ok WHERE n > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.label = b.label AND len(a.u) = len(b.u) AND a.vec_id <> b.vec_id WHERE list_dot_product(a.u, b.u) >= 0.93),
+walk(a, b) AS (SELECT a, b FROM pairs UNION SELECT w.a, p.b FROM walk w JOIN pairs p ON w.b = p.a),
+least AS (SELECT a, min(b) AS m FROM walk GROUP BY a), links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(links.n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept
+FROM v LEFT JOIN least ON least.a = vec_id LEFT JOIN links ON links.a = vec_id
+"""
 ORACLES["op10_url_filter"] = r"""
 WITH rules(rh, rp, rv) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'),
   ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
@@ -109,6 +139,7 @@ QUALIFY row_number() OVER (PARTITION BY k ORDER BY length(rh) + length(rp) DESC
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages over documents, one after the other."""
     return corpus_pipeline.run(spark, sf_dir)
 
 
