@@ -62,7 +62,15 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def depth(n: int) -> int:
-    return max(0, min(9, round(math.log(max(1, n / CELL)) / math.log(1 / SHRINK))))
+    """Rings on the way to a cell: they grow with the logarithm of the fingerprints, so that cells do not grow."""
+    return max(0, round(math.log(max(1, n / CELL)) / math.log(1 / SHRINK)))
+
+
+def _down(path: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """The number of a ring's node under a node. Nodes that fall on one number share a cell, which costs comparisons only."""
+    x = path.view("u8") * np.uint64(32) + ring.astype("u8") + np.uint64(1)
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ x >> np.uint64(29)).view("i8")
 
 
 def cells(fp: np.ndarray, vantage: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +83,7 @@ def cells(fp: np.ndarray, vantage: np.ndarray, levels: int) -> tuple[np.ndarray,
             mixed = (path.view("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             d = np.bitwise_count(own[at] ^ points[(mixed % np.uint64(len(points))).astype("i8")]).astype("i8")
             edge = np.flatnonzero(d % 2)
-            at, path = np.concatenate([at, at[edge]]), np.concatenate([path * 32 + d // 2, path[edge] * 32 + d[edge] // 2 + 1])
+            at, path = np.concatenate([at, at[edge]]), np.concatenate([_down(path, d // 2), _down(path[edge], d[edge] // 2 + 1)])
         out.append((at, path))
     return tuple(np.concatenate(x) for x in zip(*out))
 
@@ -95,7 +103,7 @@ def links(fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]
 
 
 def link_edges(points: DataFrame) -> DataFrame:
-    """points: stored fp, rep with distinct fp -> a, b: edges among reps that connect what links of three bits connect."""
+    """points: stored distinct fp -> a, b: edges among fingerprints that connect what links of three bits connect."""
     spark, p = points.sparkSession, partitions(points.sparkSession)
     vantage = np.array([r["fp"] for r in points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], "i8").view("u8")
     levels = depth(points.count())
@@ -104,23 +112,20 @@ def link_edges(points: DataFrame) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 4096):
                 part = batch.slice(low, 4096)
-                fp, rep = (c.to_numpy(zero_copy_only=False) for c in part.columns)
+                fp = part.column(0).to_numpy(zero_copy_only=False)
                 at, cell = cells(fp.view("u8"), vantage, levels)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(fp[at]), pa.array(rep[at])], ["cell", "fp", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(fp[at])], ["cell", "fp"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fp, rep in _groups(batches):
+        for fp in _groups(batches):
+            fp = np.unique(fp)  # one may come twice to a cell
             i, j = links(fp.view("u8"))
-            order = np.argsort(rep, kind="stable")
-            place = np.empty(len(rep), "i8")
-            place[order] = np.arange(len(rep))
-            root = forest(len(rep), place[i], place[j])
-            own = np.flatnonzero(root != np.arange(len(rep)))
+            root = forest(len(fp), i, j)
+            own = np.flatnonzero(root != np.arange(len(fp)))
             if len(own):
-                low = rep[order]
-                yield pa.RecordBatch.from_arrays([pa.array(low[own]), pa.array(low[root[own]])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(fp[own]), pa.array(fp[root[own]])], ["a", "b"])
 
-    dealt = points.select("fp", "rep").mapInArrow(shard, "cell long, fp long, rep long")
+    dealt = points.select("fp").mapInArrow(shard, "cell long, fp long")
     dealt = stash(dealt, "cells")
     crowded = dealt.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     crowded = stash(crowded.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "crowded")
@@ -128,25 +133,27 @@ def link_edges(points: DataFrame) -> DataFrame:
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.xxhash64("cell", F.least(mine, t), F.greatest(mine, t)))
     keys = F.when(F.col("blocks").isNull(), F.array("cell")).otherwise(pair)
-    split = joined.select(F.explode(keys).alias("cell"), "fp", "rep")
+    split = joined.select(F.explode(keys).alias("cell"), "fp")
     return split.repartition(p, "cell").sortWithinPartitions("cell").mapInArrow(search, "a long, b long")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(fp, rep) of each run of equal cells in sorted batches."""
-    held: list[tuple[np.ndarray, ...]] = []
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """fp of each run of equal cells in sorted batches."""
+    held: list[np.ndarray] = []
+    last = None
     for batch in batches:
-        cell, fp, rep = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        cell, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         if not len(cell):
             continue
         starts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist()]
         for a, b in zip(starts, [*starts[1:], len(cell)]):
-            if held and held[0][0] != cell[a]:
-                yield tuple(np.concatenate(x) for x in zip(*[h[1:] for h in held]))
+            if held and last != cell[a]:
+                yield np.concatenate(held)
                 held = []
-            held.append((cell[a], fp[a:b], rep[a:b]))
+            last = cell[a]
+            held.append(fp[a:b])
     if held:
-        yield tuple(np.concatenate(x) for x in zip(*[h[1:] for h in held]))
+        yield np.concatenate(held)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -160,7 +167,7 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     prints = stash(fingerprints(docs, words), "prints")
     points = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("doc")), "points")
     # Nodes are fingerprints; their order is that of their smallest documents only at the end.
-    groups = components(link_edges(points.select("fp", F.col("fp").alias("rep"))))
+    groups = components(link_edges(points))
     named = points.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
     named = stash(named, "named")
     least = stash(named.groupBy("root").agg(F.min("doc").alias("component_id")), "least")
@@ -176,6 +183,6 @@ def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
     """
     kept = near_duplicates(docs, words).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
     kept = stash(kept, "kept")
-    once = docs.join(kept.where("_n = 1").drop("_n"), "doc_id", "left_semi")
-    again = docs.join(kept.where("_n > 1").drop("_n"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
+    met = docs.join(kept, "doc_id", "left")
+    once, again = met.where("doc_id is null or _n = 1"), met.where("_n > 1").dropDuplicates(["doc_id"])
+    return once.unionByName(again).select(*docs.columns)
