@@ -79,14 +79,22 @@ VARIABLES (least NUMBER DEFAULT 0)
 """
 
 
-def engine(spark: SparkSession, sf_dir: str, policies: gov.Policies | None = None) -> Engine:
-    """An engine on the tables of sf_dir, each a view of its own name."""
+_engines: dict[tuple[str, str], Engine] = {}
+
+
+def engine(spark: SparkSession, sf_dir: str, policies: gov.Policies | None = None, fresh: bool = False) -> Engine:
+    """An engine on the tables of sf_dir, each a view of its own name; one for all queries of an application that only ask."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if policies is None and not fresh and key in _engines and _engines[key].spark is spark:
+        return _engines[key]
     p = f"t{uuid.uuid5(uuid.NAMESPACE_URL, sf_dir).hex[:8]}_"
     for t in TABLES:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(p + t)
     e = Engine(spark, policies)
     e.prefix = p
     e.deploy(MODEL.format(p=p))
+    if policies is None and not fresh:
+        _engines[key] = e
     return e
 
 
@@ -279,7 +287,7 @@ op("projection_policy_ways", _refused, "SELECT * FROM (VALUES ('dimension', true
 
 
 def _rollup(spark: SparkSession, d: str) -> DataFrame:
-    e = engine(spark, d)
+    e = engine(spark, d, fresh=True)
     e.store = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     e.set_max_staleness("shop", 3600)
     e.add_materialization("shop", "by_day", ["order_day", "segment"], ["order_total", "orders_n"])
