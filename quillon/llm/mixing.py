@@ -26,7 +26,8 @@ TRAINING_ROWS = 20_000
 #: Words that tell domains apart, the least slots of the table that holds them, and the documents a word must be in.
 VOCABULARY, SLOTS, FEWEST = 256, 1 << 12, 4
 #: What a mark must tell, in nats, beyond the logarithm of how many marks there are: few tell so much by chance.
-SURE = -2.0
+#: Marks of toxic text are few and rare, so less will do.
+SURE, SURE_TOXIC = 2.0, -2.0
 #: What stands between words.
 MARKS = r"[\x00-/:-@\[-`{-~]+"
 #: Most gradient steps, and the distance from each target, relative to itself, that is near enough.
@@ -114,7 +115,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> dict:
     tells = sum((F.col(d) * F.log(share[d] / (count / every)) for d in DOMAINS), F.lit(0.0))
     clear = F.greatest(*share.values()) / F.least(*share.values()) > 6
     each = stash(each.where(count >= FEWEST), "marks")
-    best = each.where(clear & (tells > SURE + math.log(max(1, each.count())))).where("h <> 0").orderBy(F.desc(tells), "h").limit(VOCABULARY).collect()
+    least = F.when(share["toxic"] >= F.greatest(*share.values()), SURE_TOXIC).otherwise(SURE)
+    best = each.where(clear & (tells > least + math.log(max(1, each.count())))).where("h <> 0").orderBy(F.desc(tells), "h").limit(VOCABULARY).collect()
     df = {(None, r["h"]): [r[d] for d in DOMAINS] for r in best}
     if best and len(langs) > 1:
         chosen = docs.sparkSession.createDataFrame([(r["h"],) for r in best], "h long")
