@@ -167,7 +167,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     met = stash(met.where("times > 1").select("g", (F.col("lo") == F.col("hi")).alias("same")), "met")
     # From here on a row that is repeated is one row with its number of copies.
     columns = ["k1", "k2", "first", "n", "g", "d1", "d2", "a", "b"]
-    alive = stash(cut.join(met, "g").groupBy(*columns, "same").agg(F.count("*").alias("copies")), "alive")
+    # Stored between join and count: grouped at once, the rows of a hot hash would stay together in one task.
+    alive = stash(cut.join(met, "g"), "met").groupBy(*columns, "same").agg(F.count("*").alias("copies"))
+    alive = stash(alive, "alive")
     kinds = alive.where("not same").groupBy("g", "d1", "d2").agg(F.sum("copies").alias("times"), F.min(F.struct("k1", "k2", "first")).alias("source"))
     kinds = stash(kinds, "kinds")
     several = alive.where("not same").join(kinds, ["g", "d1", "d2"])
