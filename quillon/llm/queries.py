@@ -9,6 +9,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.llm.alignment import link_documents
 from quillon.llm.embedding_dedup import near_vectors
 from quillon.llm.fingerprint import compare_with_next
 from quillon.llm.mixing import mix
@@ -17,6 +18,7 @@ from quillon.llm.quality import classify
 from quillon.llm.secrets import scan_secrets
 from quillon.llm.shared import read_table, scratch_dir
 from quillon.llm.simhash import near_duplicates
+from quillon.llm.spelling import group_variants
 from quillon.llm.substring_dedup import remove_repeats
 from quillon.llm.token_files import read_tokens, write_tokens
 from quillon.llm.url_rules import judge_urls
@@ -93,6 +95,17 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every frequent word of documents."""
+    return group_variants(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups and links of each of documents between a byte-level and a piece tokenizer."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return link_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES["op1_secrets"] = op1_secrets
 QUERIES["op2_token_files"] = op2_token_files
 QUERIES["op3_fingerprints"] = op3_fingerprints
@@ -103,6 +116,8 @@ QUERIES["op7_mixing"] = op7_mixing
 QUERIES["op8_embeddings"] = op8_embeddings
 QUERIES["op9_substrings"] = op9_substrings
 QUERIES["op10_url_filter"] = op10_url_filter
+QUERIES["op11_spelling"] = op11_spelling
+QUERIES["op12_alignment"] = op12_alignment
 ORACLES["op9_substrings"] = r"""
 WITH texts AS (SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
 spots AS (SELECT k, unnest(range(1, len(w) - 33)) AS p, w FROM texts WHERE len(w) >= 35),
