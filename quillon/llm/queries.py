@@ -14,6 +14,7 @@ from quillon.llm.embedding_dedup import near_vectors
 from quillon.llm.fingerprint import compare_with_next
 from quillon.llm.mixing import mix
 from quillon.llm.packing import pack_documents
+from quillon.llm.pii import find_personal_data
 from quillon.llm.quality import classify
 from quillon.llm.secrets import scan_secrets
 from quillon.llm.shared import read_table, scratch_dir
@@ -106,6 +107,11 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every text of documents: fixed patterns and what their contexts find."""
+    return find_personal_data(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES["op1_secrets"] = op1_secrets
 QUERIES["op2_token_files"] = op2_token_files
 QUERIES["op3_fingerprints"] = op3_fingerprints
@@ -118,6 +124,7 @@ QUERIES["op9_substrings"] = op9_substrings
 QUERIES["op10_url_filter"] = op10_url_filter
 QUERIES["op11_spelling"] = op11_spelling
 QUERIES["op12_alignment"] = op12_alignment
+QUERIES["op13_pii"] = op13_pii
 ORACLES["op9_substrings"] = r"""
 WITH texts AS (SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
 spots AS (SELECT k, unnest(range(1, len(w) - 33)) AS p, w FROM texts WHERE len(w) >= 35),
