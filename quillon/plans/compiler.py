@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 from quillon.errors import AccessError, QueryError
 from quillon.functions.dialect import spark_type, to_spark
-from quillon.functions.tokens import Token, close_of, lex, split_top, text_of, unquote
+from quillon.functions.tokens import close_of, lex, own_names, split_top, text_of, unquote, Token
 from quillon.model.schema import AGGREGATES, Item, Relationship, SemanticView, has_aggregate, is_window
 from quillon.plans.paths import Edge, JoinGraph
 
@@ -94,9 +94,9 @@ class Compiler:
     def expr(self, sql: str, entity: str | None, seen: frozenset = frozenset(), outer: frozenset = frozenset()) -> str:
         """An expression over joined aliases: facts and dimensions are written out, variables bound, the dialect rewritten."""
         tokens, out = lex(sql), []
-        for k, t in enumerate(tokens):
+        for k, (t, own) in enumerate(zip(tokens, own_names(tokens))):
             call = k + 1 < len(tokens) and tokens[k + 1].text == "("
-            if t.kind != "name" or (call and "." not in t.text):
+            if not own or (call and "." not in t.text):
                 out.append(t)
                 continue
             out += lex(self._name(t.text, entity, seen, outer)) if t.text.upper() not in ("NULL", "TRUE", "FALSE") else [t]
@@ -272,8 +272,9 @@ class Compiler:
     def _filtered(self, where: str | None) -> list[Item]:
         """Dimensions and facts that a filter names."""
         out = []
-        for t in lex(where or ""):
-            if t.kind == "name":
+        tokens = lex(where or "")
+        for t, own in zip(tokens, own_names(tokens)):
+            if own:
                 ref = unquote(t.text)
                 found = [i for kind in ("dimension", "fact") for i in self.view.find(kind, ref)]
                 out += [i for i in found[:1] if not (i.extras.private and "." not in ref)]
