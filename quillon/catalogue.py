@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillon.engine import Engine
 from quillon.errors import AccessError
 from quillon.governance import policies as gov
-from quillon.operators import graph
+from quillon.operators import centrality, graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -339,14 +339,15 @@ def _referential(spark: SparkSession, d: str) -> DataFrame:
 
 op("cardinality_violations", lambda s, d: graph.check_cardinality(_bought(s, d), "placedBy", "c1"), "SELECT 'c1' AS check_id, 'customer:' || o_custkey AS src_id, count(*) AS n FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey IS NOT NULL GROUP BY o_custkey HAVING count(*) > 1")
 op("referential_violations", _referential, "SELECT 'c2' AS check_id, 'customer:' || o_custkey AS src_id, 'order:' || o_orderkey AS dst_id, 'DST' AS missing FROM orders WHERE o_orderstatus = 'P' AND o_custkey IS NOT NULL AND o_orderkey IS NOT NULL UNION ALL SELECT 'c2', 'customer:' || o_custkey, 'order:' || o_orderkey, 'SRC' FROM orders WHERE o_orderkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer)")
-# The names of an earlier round, when the first two stopped at order 2000; without orders among the nodes.
-op("cardinality_violations_all", lambda s, d: graph.check_cardinality(_bought(s, d), "placedBy", "c1"), "SELECT 'c1' AS check_id, 'customer:' || o_custkey AS src_id, count(*) AS n FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey IS NOT NULL GROUP BY o_custkey HAVING count(*) > 1")
+# The name of an earlier round: without orders among the nodes.
 op("referential_violations_all", lambda s, d: graph.check_referential(_kg(s, d)[0], _bought(s, d), "placedBy", "c2"), "SELECT 'c2' AS check_id, 'customer:' || o_custkey AS src_id, 'order:' || o_orderkey AS dst_id, 'DST' AS missing FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey IS NOT NULL UNION ALL SELECT 'c2', 'customer:' || o_custkey, 'order:' || o_orderkey, 'SRC' FROM orders WHERE o_orderkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer)")
 op("hierarchy_stats", lambda s, d: graph.hierarchy_stats(*_kg(s, d)), f"SELECT id AS node_id, nm AS name, (SELECT count(DISTINCT s) FROM {_PAIRS} WHERE t = id) AS children, (SELECT count(DISTINCT t) FROM {_PAIRS} WHERE s = id) AS parents FROM {_NAMES}")
 op("degree_topn", lambda s, d: graph.degree(*_kg(s, d), 10), f"SELECT id AS node_id, nm AS name, round((SELECT count(*) FROM {_PAIRS} WHERE s = id OR t = id) / CAST((SELECT count(*) FROM {_NAMES}) - 1 AS DOUBLE), 6) AS score FROM {_NAMES} ORDER BY score DESC, node_id LIMIT 10")
 op("resolved_edges", lambda s, d: graph.resolved(*_kg(s, d)), f"SELECT s AS src_id, a.nm AS src_name, a.ty AS src_type, 'subClassOf' AS edge_type, t AS dst_id, b.nm AS dst_name, b.ty AS dst_type, CAST(1.0 AS DOUBLE) AS weight FROM {_PAIRS} LEFT JOIN {_NAMES} a ON a.id = s LEFT JOIN {_NAMES} b ON b.id = t")
 op("typed_entity_view", lambda s, d: graph.typed_view(_kg(s, d)[0], "customer", {"c_mktsegment": "string", "c_nationkey": "int"}), "SELECT 'customer:' || c_custkey AS node_id, c_name AS name, c_mktsegment, c_nationkey FROM customer")
-op("pagerank_topn", lambda s, d: graph.pagerank(*_kg(s, d), 10))
+op("pagerank_topn", lambda s, d: centrality.pagerank(*_kg(s, d), 10))
+op("betweenness_topn", lambda s, d: centrality.betweenness(*_kg(s, d), 10))
+op("communities_topn", lambda s, d: centrality.communities(*_kg(s, d)).select("community_id", "size"))
 op("hierarchy_path", lambda s, d: graph.hierarchy_path(*_kg(s, d), "Customer#000000007", "World"), f"WITH RECURSIVE w(id, step) AS (SELECT id, 0 FROM {_NAMES} WHERE nm = 'Customer#000000007' UNION ALL SELECT t, step + 1 FROM w JOIN {_PAIRS} ON s = w.id) SELECT step, w.id AS node_id, nm AS node_name, CASE WHEN step = 0 THEN 'START' ELSE 'subClassOf' END AS relationship FROM w JOIN {_NAMES} USING (id)")
 
 

@@ -8,9 +8,6 @@ number of levels, so a cycle ends them; only level counts reach the driver.
 
 from __future__ import annotations
 
-import heapq
-import random
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,31 +224,6 @@ def degree(nodes: DataFrame, edges: DataFrame, n: int, node_type: str | None = N
     return scored.select("node_id", "name", score.alias("score")).orderBy(F.desc("score"), "node_id").limit(n)
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, n: int, steps: int = 100, damping: float = 0.85, near: float = 1e-6) -> DataFrame:
-    """Top n by PageRank over the undirected graph of current edges: one join a step, until ranks change by less than ``near`` a node.
-
-    Raises ValueError where ``steps`` are too few for that.
-    """
-    pairs = current(edges).select("src_id", "dst_id").where("src_id <> dst_id")
-    links = cut(pairs.union(pairs.select("dst_id", "src_id")).distinct().toDF("at", "to"))
-    out = cut(links.groupBy("at").agg(F.count("*").alias("out")))
-    count = nodes.count()
-    ranks = nodes.select(F.col("node_id").alias("id"), F.lit(1.0 / max(1, count)).alias("rank"))
-    for _ in range(steps):
-        sent = links.join(out, "at").join(ranks, F.col("at") == F.col("id")).groupBy("to").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        idle = ranks.join(out, F.col("id") == F.col("at"), "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("idle"))
-        new = ranks.join(sent, F.col("id") == F.col("to"), "left").crossJoin(F.broadcast(idle)).select("id", ((1 - damping) / count + damping * (F.coalesce("got", F.lit(0.0)) + F.col("idle") / count)).alias("rank"))
-        new = cut(new)
-        moved = new.join(ranks.withColumnRenamed("rank", "was"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("was"))).alias("moved")).first()["moved"]
-        ranks = new
-        if (moved or 0.0) < count * near or not count:
-            break
-    else:
-        raise ValueError(f"PageRank did not converge in {steps} steps")
-    named = ranks.join(nodes.select("node_id", "name"), F.col("id") == F.col("node_id"))
-    return named.select("node_id", "name", F.round("rank", 6).alias("score")).orderBy(F.desc("score"), "node_id").limit(n)
-
-
 def shortest_path(nodes: DataFrame, edges: DataFrame, a: str, b: str, levels: int = 20) -> DataFrame:
     """step, node_id, node_name of one shortest undirected way; a frontier that forgets where it has been already."""
     pairs = current(edges).select("src_id", "dst_id")
@@ -275,74 +247,6 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, a: str, b: str, levels: in
     return steps.join(nodes.select("node_id", F.col("name").alias("node_name")), "node_id").select("step", "node_id", "node_name")
 
 
-def _small_graph(nodes: DataFrame, edges: DataFrame, most: int) -> dict[str, set[str]]:
-    """Adjacency on the driver, for algorithms without a distributed form; refuses graphs over ``most`` nodes."""
-    if nodes.count() > most:
-        raise ValueError(f"over {most} nodes: this algorithm holds the graph in one process")
-    out: dict[str, set[str]] = {r[0]: set() for r in nodes.select("node_id").collect()}
-    for s, d in current(edges).select("src_id", "dst_id").distinct().collect():
-        if s != d and s in out and d in out:
-            out[s].add(d)
-            out[d].add(s)
-    return out
-
-
-def betweenness(nodes: DataFrame, edges: DataFrame, n: int, pivots: int = 100, seed: int = 0, most: int = 50_000) -> DataFrame:
-    """Top n by betweenness from up to ``pivots`` seeded sources (Brandes), scaled to all sources."""
-    g = _small_graph(nodes, edges, most)
-    ids = sorted(g)
-    sources = ids if len(ids) <= pivots else sorted(random.Random(seed).sample(ids, pivots))
-    total = dict.fromkeys(ids, 0.0)
-    for s in sources:
-        order, before, ways, far = [], {v: [] for v in ids}, dict.fromkeys(ids, 0.0), {s: 0}
-        ways[s], queue = 1.0, [s]
-        for v in queue:
-            order.append(v)
-            for w in sorted(g[v]):
-                if w not in far:
-                    far[w] = far[v] + 1
-                    queue.append(w)
-                if far[w] == far[v] + 1:
-                    ways[w] += ways[v]
-                    before[w].append(v)
-        carried = dict.fromkeys(ids, 0.0)
-        for w in reversed(order):
-            for v in before[w]:
-                carried[v] += ways[v] / ways[w] * (1 + carried[w])
-            if w != s:
-                total[w] += carried[w]
-    k = len(ids)
-    scale = (k / len(sources) if sources else 0) / ((k - 1) * (k - 2)) if k > 2 else 0
-    best = heapq.nsmallest(n, ids, key=lambda v: (-round(total[v] * scale, 6), v))
-    df = nodes.sparkSession.createDataFrame([(v, round(total[v] * scale, 6)) for v in best], "node_id string, score double")
-    return df.join(nodes.select("node_id", "name"), "node_id").select("node_id", "name", "score")
-
-
-def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, top: int = 20, most: int = 50_000) -> DataFrame:
-    """community_id, size, sample (five names): greedy modularity moves in id order, largest communities first."""
-    g = _small_graph(nodes, edges, most)
-    m2 = sum(map(len, g.values())) or 1
-    of, weight = {v: v for v in g}, {v: float(len(g[v])) for v in g}
-    moved = True
-    rounds = 0
-    while moved and rounds < 50:
-        moved, rounds = False, rounds + 1
-        for v in sorted(g):
-            own, links = of[v], {}
-            weight[own] -= len(g[v])
-            for w in g[v]:
-                links[of[w]] = links.get(of[w], 0) + 1
-            gain = lambda c: links.get(c, 0) - resolution * weight[c] * len(g[v]) / m2  # noqa: B023, E731
-            best = max(sorted({own, *links}), key=lambda c: (gain(c), c == own))
-            of[v] = best
-            weight[best] += len(g[v])
-            moved |= best != own
-    rows = [(v, c) for v, c in of.items()]
-    df = nodes.sparkSession.createDataFrame(rows, "node_id string, community_id string").join(nodes.select("node_id", "name"), "node_id")
-    out = df.groupBy("community_id").agg(F.count("*").alias("size"), F.slice(F.sort_array(F.collect_list("name")), 1, 5).alias("sample"))
-    return out.orderBy(F.desc("size"), "community_id").limit(top)
-
-
 def shared_properties(classes: DataFrame) -> DataFrame:
     """property, n_classes of (class_name, property) rows where two classes or more have it."""
     return classes.groupBy("property").agg(F.countDistinct("class_name").alias("n_classes")).where("n_classes >= 2")

@@ -6,7 +6,7 @@ from quillon.engine import Engine
 from quillon.errors import QueryError, SemanticError
 from quillon.governance import ops
 from quillon.model import introspect
-from quillon.operators import graph
+from quillon.operators import centrality, graph
 from quillon.streaming.ingest import auto_ingest
 
 VIEW = "CREATE SEMANTIC VIEW ops_v TABLES (t AS ops_t PRIMARY KEY (k)) FACTS (PRIVATE t.f AS x) DIMENSIONS (t.g AS g WITH SYNONYMS ('group', 'kind')) METRICS (t.s AS SUM(f) WITH SYNONYMS ('kind'), t.n AS COUNT(k) WITH TAG (pii = 'no'), r AS s / n) AI_VERIFIED_QUERIES (q AS (QUESTION 'How many?' SQL 'SELECT * FROM SEMANTIC_VIEW(ops_v METRICS n)'))"
@@ -54,9 +54,9 @@ def test_graph_analytics(spark):
     edges = spark.createDataFrame([(s, d, "t", None) for s, d in pairs], "src_id string, dst_id string, edge_type string, effective_end date")
     assert [r.node_id for r in graph.shortest_path(nodes, edges, "a", "e").orderBy("step").collect()] == ["a", "c", "d", "e"]
     assert graph.shortest_path(nodes, edges, "a", "z").count() == 0
-    assert graph.betweenness(nodes, edges, 2).orderBy("score", ascending=False).first().node_id in "cd"
-    assert sum(r.size for r in graph.communities(nodes, edges).collect()) == 6
-    assert graph.pagerank(nodes, edges, 6).count() == 6
+    assert centrality.betweenness(nodes, edges, 2).orderBy("score", ascending=False).first().node_id in "cd"
+    assert sum(r.size for r in centrality.communities(nodes, edges).collect()) == 6
+    assert centrality.pagerank(nodes, edges, 6).count() == 6
     assert graph.ancestors(nodes, edges, "a", "t").count() == 5
     made, report = graph.run_rules(edges.selectExpr("*", "1.0D as weight", "cast(null as date) effective_start"), [{"kind": "TRANSITIVE", "edge_type": "t", "rule_id": "r"}, {"kind": "PROPERTY_CHAIN", "edge_type": "t", "rule_id": "p"}])
     assert made.count() > 0 and [r["status"][:5] for r in report] == ["OK", "ERROR"]
@@ -80,9 +80,9 @@ def test_pagerank_converges(spark):
     for _ in range(500):
         idle = sum(rank[x] for x in ids if not next_to[x])
         rank = {x: 0.15 / len(ids) + 0.85 * (idle / len(ids) + sum(rank[y] / len(next_to[y]) for y in next_to[x])) for x in ids}
-    assert {r.node_id: r.score for r in graph.pagerank(nodes, edges, 9).collect()} == pytest.approx(rank, abs=6e-5)
+    assert {r.node_id: r.score for r in centrality.pagerank(nodes, edges, 9).collect()} == pytest.approx(rank, abs=6e-5)
     with pytest.raises(ValueError, match="converge"):
-        graph.pagerank(nodes, edges, 9, steps=2)
+        centrality.pagerank(nodes, edges, 9, steps=2)
 
 
 def test_checks_see_every_order(spark, sf):
