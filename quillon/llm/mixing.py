@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import stash
+from quillon.llm.shared import carried, stash
 
 #: The labels that a classifier is fitted on are all, or a share by hash so that about so many are left.
 TRAINING_ROWS = 20_000
@@ -145,7 +145,8 @@ def posteriors(docs: DataFrame, model: dict) -> DataFrame:
     """docs with n_tokens and p_clean, p_junk, p_toxic, which add up to 1; clashing columns are replaced."""
     made = ["n_tokens", *[f"p_{d}" for d in DOMAINS]]
     keep = [c for c in docs.columns if c not in made]
-    told, slots, langs = described(docs.select(*keep)), SLOTS, model["langs"]
+    own = F.col("lang").cast("string") if "lang" in keep else F.lit(None).cast("string")
+    told, slots, langs = described(docs.select(carried(docs, keep), F.col("text"), own.alias("lang"))), SLOTS, model["langs"]
     while len({h % slots for h in model["words"]}) < len(model["words"]):
         slots += 1
     keys, number = [0] * slots, [0] * slots
@@ -153,10 +154,9 @@ def posteriors(docs: DataFrame, model: dict) -> DataFrame:
         keys[h % slots], number[h % slots] = h, k
     slot = lambda h: F.pmod(h, F.lit(slots)).cast("int")
     table, numbers = _literal(keys, "bigint"), _literal(number, "int")
-    own = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     place = F.lit(0)
     for k, x in enumerate(langs[1:], 1):
-        place = F.when(own == x, k).otherwise(place)
+        place = F.when(F.col("lang") == x, k).otherwise(place)
     told = told.withColumns({"_at": place, "_found": F.transform(F.filter("_marks", lambda h: F.get(table, slot(h)) == h), lambda h: F.get(numbers, slot(h)))})
     logits = {}
     for k, d in enumerate(DOMAINS):
@@ -170,7 +170,7 @@ def posteriors(docs: DataFrame, model: dict) -> DataFrame:
     top = F.greatest(*[F.col(c) for c in logits])
     told = told.withColumns({c: F.exp(F.col(c) - top) for c in logits})
     whole = sum((F.col(c) for c in logits), F.lit(0.0))
-    return told.select(*keep, "n_tokens", *[(F.col(f"_l_{d}") / whole).alias(f"p_{d}") for d in DOMAINS])
+    return told.select("own.*", "n_tokens", *[(F.col(f"_l_{d}") / whole).alias(f"p_{d}") for d in DOMAINS])
 
 
 def rate_of(history: list[list[float]]) -> Column:
@@ -304,4 +304,4 @@ def draw(mixed: DataFrame, nearest: bool = False) -> DataFrame:
     """Each row as often as its rate says: rounded, or (the default) up with the chance of its fraction, by a hash of text."""
     chance = F.lit(0.5) if nearest else F.pmod(F.xxhash64(F.lit("draw"), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.floor(F.col("rate") + chance).cast("int")
-    return mixed.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy")
+    return mixed.where(copies > 0).select(F.explode(F.array_repeat(carried(mixed), copies)).alias("own")).select("own.*")

@@ -17,7 +17,7 @@ from quillon.llm.packing import pack_documents
 from quillon.llm.pii import find_personal_data
 from quillon.llm.quality import classify
 from quillon.llm.secrets import scan_secrets
-from quillon.llm.shared import read_table, scratch_dir
+from quillon.llm.shared import read_table, scratch_dir, tidied
 from quillon.llm.simhash import near_duplicates
 from quillon.llm.spelling import group_variants
 from quillon.llm.substring_dedup import remove_repeats
@@ -36,6 +36,7 @@ URL_RULES = [
 ]
 
 
+@tidied
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every text of documents: doc_id, counts, base_sha256, spans, n_random. Null texts have none."""
     found = scan_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -50,28 +51,33 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
+@tidied
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each of documents against its edited text and the next document, in descending doc_id order."""
     return compare_with_next(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@tidied
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents cut and packed in sequences of at most 1024 tokens."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+@tidied
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint and component_id of all documents, links at three bits or fewer."""
     return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@tidied
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity, threshold and verdict of all documents under models of the trusted labels."""
     labels = read_table(spark, sf_dir, "labels")
     return classify(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), labels)
 
 
+@tidied
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posteriors and rates of all documents for nine tenths clean tokens."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
@@ -79,16 +85,19 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "n_tokens", "p_clean", "p_junk", "p_toxic", "rate")
 
 
+@tidied
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_links, component_id and kept of all embeddings at cosine 0.93 within a label."""
     return near_vectors(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+@tidied
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each of documents without its repeated windows of 35 words."""
     return remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
 
 
+@tidied
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every url of pages under URL_RULES."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -96,17 +105,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+@tidied
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form and root of every frequent word of documents."""
     return group_variants(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@tidied
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token groups and links of each of documents between a byte-level and a piece tokenizer."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return link_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@tidied
 def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every text of documents: fixed patterns and what their contexts find."""
     return find_personal_data(read_table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import stash
+from quillon.llm.shared import carried, stash
 
 # The three patterns of the contract. hex and access in a form
 # that only matches what is long enough, which finds the same spans.
@@ -351,8 +351,8 @@ def scan_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
 
     names = [c.split()[0] for c in SPANS.split(", ")]
     keep = [c for c in docs.columns if c not in names]
-    found = docs.select(*keep, run(F.col("text").cast("string")).alias("_found"))
-    return found.select(*keep, *[F.col(f"_found.{c}").alias(c) for c in names])
+    found = docs.select(carried(docs, keep), run(F.col("text").cast("string")).alias("found"))
+    return found.select("own.*", *[F.col(f"found.{c}").alias(c) for c in names])
 
 
 def redact(text: str | None, rule: Rule, mark: str = "[SECRET]") -> str | None:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,12 +37,41 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 @contextmanager
 def scope() -> Iterator[list[str]]:
-    """The paths that stash writes meanwhile."""
+    """The paths that stash writes meanwhile; those left in the list in the end are the enclosing scope's too."""
     _scopes.append([])
     try:
         yield _scopes[-1]
     finally:
-        _scopes.pop()
+        left = _scopes.pop()
+        if _scopes:
+            _scopes[-1].extend(left)
+
+
+def tidy(made: list[str], *results: DataFrame) -> None:
+    """Remove the stashed tables of ``made`` that none of the results reads, and take them off the list."""
+    read = [x for df in results for x in df.inputFiles()]
+    gone = [p for p in made if not any(f"/{p.rsplit('/', 1)[1]}/" in x for x in read)]
+    if gone:
+        drop_tables(results[0].sparkSession, gone)
+    made[:] = [p for p in made if p not in gone]
+
+
+def tidied(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f, which removes what it stored once its result is made, but for what the result still reads."""
+
+    @functools.wraps(f)
+    def run(*args, **more) -> DataFrame:
+        with scope() as made:
+            out = f(*args, **more)
+            tidy(made, out)
+        return out
+
+    return run
+
+
+def carried(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """The caller's columns as one struct, "own": no name of theirs can clash with what is made beside it."""
+    return F.struct(*[F.col(f"`{c}`") for c in (df.columns if columns is None else columns)]).alias("own")
 
 
 def drop_tables(spark: SparkSession, paths: list[str]) -> None:
