@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.catalogue import ANALYST, TOTAL, engine, guarded, op, standard
+from quillon.catalogue import ANALYST, TOTAL, _read, engine, guarded, op
+from quillon.engine import Engine
 from quillon.errors import SemanticError
+from quillon.operators.ordered import numbered, running
+from quillon.streaming.dynamic import DynamicTable
 
 # Policies hold however a statement names a governed table ----------------------------------
 
@@ -131,3 +138,51 @@ def channels(dims: list[str], metrics: list[str]):
 _MONTH = "CAST(CAST(date_trunc('month', {}) AS DATE) AS VARCHAR)"
 op("union_of_distinct_days", channels(["days.month"], ["order_total", "event_total", "all_money"]), f"SELECT month, CAST(a AS DOUBLE) AS order_total, CAST(b AS DOUBLE) AS event_total, CAST(a + b AS DOUBLE) AS all_money FROM (SELECT {_MONTH.format('o_orderdate')} AS month, {TOTAL} AS a FROM orders GROUP BY 1) FULL JOIN (SELECT {_MONTH.format('ts')} AS month, sum(CAST(value AS DECIMAL(18,2))) AS b FROM events GROUP BY 1) USING (month)")
 op("subquery_named_as_source", channels(["segment"], ["orders_n"]), "SELECT c_mktsegment AS segment, count(*) AS orders_n FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 5000) ON o_custkey = c_custkey GROUP BY 1")
+
+
+# Order over whole tables, stored rollups, tables that follow a folder ----------------------------
+
+op("row_number_global", lambda s, d: numbered(_read(s, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], "place").drop("o_totalprice"), "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders")
+op("running_total_global", lambda s, d: running(_read(s, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), [F.asc("o_orderdate"), F.asc("o_orderkey")], F.col("o_totalprice").cast("decimal(18,2)"), "total").select("o_orderkey", "total"), "SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS total FROM orders")
+
+YEARS = "CREATE SEMANTIC VIEW years TABLES (o AS {p}orders_now PRIMARY KEY (o_orderkey)) FACTS (o.amount AS CAST(o_totalprice AS DECIMAL(18,2))) DIMENSIONS (o.order_year AS YEAR(o_orderdate), o.status AS o_orderstatus) METRICS (o.total AS SUM(amount), o.n AS COUNT(o_orderkey))"
+
+
+def rolled(spark: SparkSession, d: str, then: Callable[[Engine], None], dims: list[str], metrics: list[str], where: str | None = None) -> DataFrame:
+    """A rollup by year of all orders, frozen before 1996; afterwards every price is doubled, then ``then`` happens and a query is asked."""
+    now, p = [0.0], engine(spark, d).prefix
+    e = Engine(spark, store=spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir"), clock=lambda: now[0])
+    e.now = now
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {p}orders_now AS SELECT * FROM {p}orders")
+    e.deploy(YEARS.format(p=p))
+    e.set_max_staleness("years", 600)
+    e.add_materialization("years", "by_year", ["order_year", "status"], ["total", "n"], immutable_where="order_year < 1996")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {p}orders_now AS SELECT * EXCEPT (o_totalprice), 2 * o_totalprice AS o_totalprice FROM {p}orders")
+    then(e)
+    return e.query("years", dims, metrics, where=where)
+
+
+def _late(e: Engine) -> None:
+    e.now[0] = 601.0
+
+
+_BY_YEAR = "SELECT year(o_orderdate) AS order_year, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) * {} AS total FROM orders GROUP BY 1"
+op("rollup_refresh_incremental", lambda s, d: rolled(s, d, lambda e: e.refresh("years", "by_year"), ["order_year"], ["total"]), _BY_YEAR.format("CASE WHEN year(o_orderdate) < 1996 THEN 1 ELSE 2 END"))
+op("rollup_fresh", lambda s, d: rolled(s, d, lambda e: None, ["order_year"], ["total"]), _BY_YEAR.format("1"))
+op("rollup_stale", lambda s, d: rolled(s, d, _late, ["order_year"], ["total"]), _BY_YEAR.format("2"))
+op("rollup_dropped", lambda s, d: rolled(s, d, lambda e: e.drop_materialization("years", "by_year"), ["order_year"], ["total"]), _BY_YEAR.format("2"))
+op("rollup_count_of_none", lambda s, d: rolled(s, d, lambda e: None, [], ["n", "total"], "status = 'none'"), "SELECT count(*) AS n, CAST(sum(o_totalprice) AS DOUBLE) AS total FROM orders WHERE o_orderstatus = 'none'")
+
+
+def _dynamic(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by customer as a dynamic table over the folder, refreshed twice: the second finds nothing new."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    schema = _read(spark, d, "orders").schema.simpleString()[len("struct<") : -1].replace(":", " ")
+    metrics = {"n": ("count", "o_orderkey"), "least": ("min", "o_totalprice"), "most": ("max", "o_totalprice")}
+    table = DynamicTable(spark, d, schema, ["o_custkey"], metrics, f"{where}/quillon/dynamic-{uuid.uuid4().hex}", 60, glob="orders.parquet*")
+    table.follow()
+    table.refresh()
+    return table.read()
+
+
+op("dynamic_table", _dynamic, "SELECT o_custkey, count(o_orderkey) AS n, min(o_totalprice) AS least, max(o_totalprice) AS most FROM orders GROUP BY 1")

@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def auto_ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: list[str] | None = None, fmt: str = "parquet", region: str = "PRIMARY") -> None:
-    """Append new files of source to target, once each; a second call goes on from the checkpoint.
+def auto_ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: list[str] | None = None, fmt: str = "parquet", region: str = "PRIMARY", event_time: str | None = None, delay: str = "1 hour", files: int | None = None) -> list[dict]:
+    """Append new files of source to target, once each; a second call goes on from the checkpoint. Returns each batch's rows and state rows.
 
-    With keys, rows of equal keys within the stream's state are taken once.
+    With keys, rows of equal keys are taken once: with an event_time within
+    ``delay`` of it, so that older keys leave the state (rows that late are
+    dropped); without one for good, in a state that grows. ``files`` is the
+    most of a batch.
     """
-    df = spark.readStream.schema(schema).format(fmt).load(source)
+    reader = spark.readStream.schema(schema).format(fmt)
+    df = (reader.option("maxFilesPerTrigger", files) if files else reader).load(source)
     df = df.withColumns({"_source_file": F.col("_metadata.file_path"), "_source_region": F.lit(region)})
-    df = df.dropDuplicates(keys) if keys else df
-    df.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    if keys and event_time:
+        df = df.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
+    elif keys:
+        df = df.dropDuplicates(keys)
+    query = df.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    told = [p if isinstance(p, dict) else json.loads(p.json) for p in query.recentProgress]
+    return [{"batch": p["batchId"], "rows": p["numInputRows"], "state": sum(s["numRowsTotal"] for s in p["stateOperators"])} for p in told]
 
 
 def catch_up(spark: SparkSession, source: str, schema: str, after: str, fmt: str = "parquet") -> DataFrame:
