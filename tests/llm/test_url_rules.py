@@ -49,10 +49,11 @@ def test_whole_table(spark, sf):
     assert len({v[2] for v in got.values()}) > 3
 
 
-@pytest.mark.parametrize("limit", [200_000, 3])
-def test_many_rules_with_ties(spark, monkeypatch, limit):
-    """Broadcast or shuffled rules; of equal lengths the longer host wins, of equal rules block."""
+@pytest.mark.parametrize("limit, shapes", [(200_000, 40), (200_000, 1), (3, 40)])
+def test_many_rules_with_ties(spark, monkeypatch, limit, shapes):
+    """A join for each shape, or expressions exploded, with rules broadcast or shuffled; of equal lengths the longer host wins, of equal rules block."""
     monkeypatch.setattr(url_rules, "BROADCAST_RULES", limit)
+    monkeypatch.setattr(url_rules.judge_urls, "__defaults__", ("allow", shapes))
     r = random.Random(2)
     hosts = ["com", "a.com", "b.a.com", "net", "x.net"]
     rules = [(r.choice(hosts), "/" + "".join(r.choices("ab/", k=r.randrange(4))), r.choice(["allow", "block"])) for _ in range(60)]
@@ -86,3 +87,12 @@ def test_clashing_columns_repeats_and_no_rows(spark):
     assert judge_urls(pages.limit(0), rules).count() == 0
     mapped = pages.selectExpr("url", "map('a', 1) AS m")
     assert [r.m for r in judge_urls(mapped, rules).collect()] == [{"a": 1}] * 3
+
+
+def test_pages_stay_in_their_tasks(spark):
+    """No exchange has a column of pages: rules are few, so pages are not shuffled; with many, hosts, paths and ranks are."""
+    pages = spark.createDataFrame([(1, "http://a.com/en/x", "<html>")], "page_id long, url string, html string")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    lines = judge_urls(pages, rules)._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert all("Broadcast" in x or "hashpartitioning(labels" in x or "hashpartitioning(host" in x for x in lines if "Exchange" in x)
+    assert not any("own" in x for x in lines if "Exchange" in x)
