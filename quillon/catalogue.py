@@ -437,16 +437,27 @@ def _rerun(spark: SparkSession, d: str) -> DataFrame:
 op("rules_rerun", _rerun, ORACLES["transitive_edges"].replace("'r1'", "'t'"))
 
 
-def _schema(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    keys = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "dim_order_items": ["order_id", "part_id"], "parts": ["part_id"], "orders": ["order_id"]}
-    columns = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "nation_name", "region_id"], "customer": ["c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_phone", "nation_id"], "dim_order_items": ["order_id", "part_id", "quantity"], "parts": ["part_id", "p_name", "p_brand", "p_size", "p_type", "p_container"], "orders": ["order_id", "cust", "a", "b", "c", "d"]}
-    links = [("nation", "region_id", "region", "r_regionkey", 0), ("customer", "nation_id", "db.s.nation", "n_nationkey", 0), ("dim_order_items", "order_id", "orders", "order_id", 0), ("dim_order_items", "part_id", "parts", "part_id", 1), ("orders", "cust", "customer", "c_custkey", 0)]
-    pairs = lambda d: spark.createDataFrame([(t, c) for t, cs in d.items() for c in cs], "table_name string, column_name string")
-    return pairs(columns), pairs(keys), spark.createDataFrame(links, "table_name string, column_name string, ref_table string, ref_column string, position int")
+KEYS = """CREATE SEMANTIC VIEW keyed TABLES ({p}region PRIMARY KEY (r_regionkey), {p}nation PRIMARY KEY (n_nationkey), {p}customer PRIMARY KEY (c_custkey), {p}orders PRIMARY KEY (o_orderkey),
+  {p}part PRIMARY KEY (p_partkey), {p}supplier PRIMARY KEY (s_suppkey), {p}supplies PRIMARY KEY (ps_part, ps_supp))
+RELATIONSHIPS ({p}nation(n_regionkey) REFERENCES {p}region, {p}customer(c_nationkey) REFERENCES {p}nation, {p}orders(o_custkey) REFERENCES {p}customer,
+  {p}supplies(ps_part) REFERENCES {p}part, {p}supplies(ps_supp) REFERENCES {p}supplier)
+METRICS ({p}orders.n AS COUNT(o_orderkey))"""
 
 
-op("ontology_classes", lambda s, d: ontology.classify(*_schema(s)), "SELECT * FROM (VALUES ('region', 'entity', 'Region'), ('nation', 'lookup', 'Nation'), ('customer', 'entity', 'Customer'), ('dim_order_items', 'relationship', 'OrderItem'), ('parts', 'entity', 'Part'), ('orders', 'entity', 'Order')) t(table_name, kind, class_name)".replace("('region', 'entity'", "('region', 'lookup'"))
-op("ontology_relations", lambda s, d: ontology.infer_relations(ontology.classify(*_schema(s)), _schema(s)[2]), "SELECT * FROM (VALUES ('has_region', 'Nation', 'Region', 'N:1', 'nation'), ('has_nation', 'Customer', 'Nation', 'N:1', 'customer'), ('belongs_to_customer', 'Order', 'Customer', 'N:1', 'orders'), ('orderitem', 'Order', 'Part', 'N:N', 'dim_order_items')) t(name, domain_class, range_class, cardinality, source_table)")
+def _schema(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Columns, keys and references of the tables, as a semantic view over them declares."""
+    e = engine(spark, d)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {e.prefix}supplies AS SELECT l_partkey AS ps_part, l_suppkey AS ps_supp, sum(l_quantity) AS quantity FROM {e.prefix}lineitem GROUP BY 1, 2")
+    view = e.prepare(KEYS.format(p=e.prefix))
+    bare = lambda df: df.select(*[F.regexp_replace(c, "^t[0-9a-f]{8}_", "").alias(c) if c.endswith("table_name") or c == "ref_table" else F.col(c) for c in df.columns])
+    return tuple(map(bare, ontology.declared(spark, view, view.columns)))
+
+
+# By the rules: tables of at most five columns with one key and a naming column are lookups, two keys and two references make a relationship.
+_COLUMNS = "(SELECT table_name, count(*) AS n, bool_or(regexp_matches(lower(column_name), '^(.*_)?(name|label|title|display_name|full_name)$')) AS named FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'orders', 'part', 'supplier') GROUP BY 1)"
+_CLASSES = f"SELECT table_name, CASE WHEN n <= 5 AND named THEN 'lookup' ELSE 'entity' END AS kind, CASE table_name WHEN 'orders' THEN 'Order' ELSE upper(table_name[1]) || substr(table_name, 2) END AS class_name FROM {_COLUMNS} UNION ALL SELECT 'supplies', 'relationship', 'Supplie'"
+op("ontology_classes", lambda s, d: ontology.classify(*_schema(s, d)), _CLASSES)
+op("ontology_relations", lambda s, d: ontology.infer_relations(ontology.classify(*_schema(s, d)), _schema(s, d)[2]), f"WITH c AS ({_CLASSES}) SELECT 'belongs_to_' || lower(b.class_name) AS name, a.class_name AS domain_class, b.class_name AS range_class, 'N:1' AS cardinality, a.table_name AS source_table FROM (VALUES ('nation', 'region'), ('customer', 'nation'), ('orders', 'customer')) l(x, y) JOIN c a ON a.table_name = x JOIN c b ON b.table_name = y UNION ALL SELECT 'supplie', 'Part', 'Supplier', 'N:N', 'supplies'")
 
 
 def _taxonomy(spark: SparkSession, d: str) -> DataFrame:
@@ -457,7 +468,8 @@ def _taxonomy(spark: SparkSession, d: str) -> DataFrame:
 
 
 op("ontology_depth", lambda s, d: ontology.depth(_taxonomy(s, d)), "SELECT 'WORLD' AS class_id, 0 AS depth UNION ALL SELECT r_name, 1 FROM region UNION ALL SELECT n_name, 2 FROM nation")
-op("ontology_coverage", lambda s, d: ontology.coverage(_taxonomy(s, d), s.createDataFrame([("ASIA",)], "class_id string")), "SELECT 'WORLD' AS class_id, 'abstract' AS status UNION ALL SELECT r_name, CASE r_name WHEN 'ASIA' THEN 'mapped' ELSE 'abstract' END FROM region UNION ALL SELECT n_name, CASE r_name WHEN 'ASIA' THEN 'covered' ELSE 'unmapped' END FROM nation JOIN region ON n_regionkey = r_regionkey")
+_ABSTRACT = "('WORLD', 'EUROPE', 'ASIA', 'JAPAN', 'NATION_12', 'NATION_3')"
+op("ontology_coverage", lambda s, d: ontology.coverage(_taxonomy(s, d).withColumn("is_abstract", F.expr(f"class_id IN {_ABSTRACT}")), s.createDataFrame([("ASIA",)], "class_id string")), f"SELECT 'WORLD' AS class_id, 'abstract' AS status UNION ALL SELECT r_name, CASE WHEN r_name = 'ASIA' THEN 'mapped' WHEN r_name IN {_ABSTRACT} THEN 'abstract' ELSE 'unmapped' END FROM region UNION ALL SELECT n_name, CASE WHEN n_name IN {_ABSTRACT} THEN 'abstract' WHEN r_name = 'ASIA' THEN 'covered' ELSE 'unmapped' END FROM nation JOIN region ON n_regionkey = r_regionkey")
 
 
 def _class_views(spark: SparkSession, d: str) -> DataFrame:

@@ -52,21 +52,20 @@ def stream_activity(progress: DataFrame) -> DataFrame:
 EXCHANGE = {
     T.StringType: "String",
     T.BooleanType: "Boolean",
-    T.ByteType: "Int16",
-    T.ShortType: "Int16",
+    T.ByteType: "Integer",
+    T.ShortType: "Integer",
     T.IntegerType: "Integer",
     T.LongType: "Integer64",
     T.FloatType: "Double",
     T.DoubleType: "Double",
     T.DateType: "Date",
     T.TimestampType: "Timestamp",
-    T.TimestampNTZType: "DateTime",
-    T.BinaryType: "Binary",
+    T.TimestampNTZType: "Timestamp",
 }
 
 
 def exchange_types(schema: T.StructType) -> list[dict]:
-    """{name, type, nullable, ...} of each column; nested and unknown types are refused, all at once."""
+    """{name, type, nullable, ...} of each column; binary, nested and unknown types are refused, all at once."""
     out, refused = [], []
     for f in schema.fields:
         if isinstance(f.dataType, T.DecimalType):

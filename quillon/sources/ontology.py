@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.model.schema import SemanticView
 from quillon.operators.lineage import cut
 
 # Vocabularies that triples are told by.
@@ -19,7 +20,7 @@ CLASSES, PROPERTIES = [OWL + "Class", RDFS + "Class"], [OWL + "ObjectProperty",
 TRIPLE = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"\S*)\s*\.\s*$'
 # Prefixes that table names lose, columns that name a row, endings of keys.
 PREFIX = r"(?i)^(tbl_|t_|dim_|fact_|stg_|raw_)"
-NAMING = r"(?i)^(.*_)?(name|title|label|description)$"
+NAMING = r"(?i)^(.*_)?(name|label|title|display_name|full_name)$"
 KEY = r"(?i)^(.+)_(id|key|code)$"
 
 
@@ -35,12 +36,15 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def classes_of(triples: DataFrame) -> DataFrame:
-    """class_id, label, parent: one row for each class and parent."""
+    """class_id, label, parent, is_abstract: one row for each class and parent. A class is abstract that has classes below and no instances."""
     own = triples.where((F.col("p") == TYPE) & F.col("o").isin(CLASSES)).select("s").distinct()
     label = triples.where(F.col("p") == RDFS + "label").groupBy("s").agg(F.min("o").alias("label"))
     parent = triples.where(F.col("p") == RDFS + "subClassOf").select("s", F.col("o").alias("parent")).distinct()
-    met = own.join(label, "s", "left").join(parent, "s", "left")
-    return met.select(local_name(F.col("s")).alias("class_id"), F.coalesce("label", local_name(F.col("s"))).alias("label"), local_name(F.col("parent")).alias("parent"))
+    above = parent.join(own, "s", "left_semi").select(F.col("parent").alias("s"), F.lit(True).alias("above")).distinct()
+    held = triples.where(F.col("p") == TYPE).select(F.col("o").alias("s"), F.lit(True).alias("held")).distinct()
+    met = own.join(label, "s", "left").join(parent, "s", "left").join(above, "s", "left").join(held, "s", "left")
+    abstract = F.coalesce("above", F.lit(False)) & F.col("held").isNull()
+    return met.select(local_name(F.col("s")).alias("class_id"), F.coalesce("label", local_name(F.col("s"))).alias("label"), local_name(F.col("parent")).alias("parent"), abstract.alias("is_abstract"))
 
 
 def relations_of(triples: DataFrame) -> DataFrame:
@@ -56,9 +60,9 @@ def relations_of(triples: DataFrame) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(classes, relations) of JSON documents {classes: [{name, label, parents}], relations: [{name, domain_class, range_class}]}."""
-    d = spark.read.option("multiLine", True).schema("classes array<struct<name:string,label:string,parents:array<string>>>, relations array<struct<name:string,domain_class:string,range_class:string,cardinality:string>>").json(path)
-    c = d.select(F.explode("classes").alias("c")).select(F.col("c.name").alias("class_id"), F.coalesce("c.label", "c.name").alias("label"), F.explode_outer("c.parents").alias("parent"))
+    """(classes, relations) of JSON documents {classes: [{name, label, parents, is_abstract}], relations: [{name, domain_class, range_class}]}."""
+    d = spark.read.option("multiLine", True).schema("classes array<struct<name:string,label:string,parents:array<string>,is_abstract:boolean>>, relations array<struct<name:string,domain_class:string,range_class:string,cardinality:string>>").json(path)
+    c = d.select(F.explode("classes").alias("c")).select(F.col("c.name").alias("class_id"), F.coalesce("c.label", "c.name").alias("label"), F.explode_outer("c.parents").alias("parent"), F.coalesce("c.is_abstract", F.lit(False)).alias("is_abstract"))
     return c, d.select(F.explode("relations").alias("r")).select("r.*")
 
 
@@ -87,18 +91,32 @@ def classify(columns: DataFrame, keys: DataFrame, links: DataFrame) -> DataFrame
 
 
 def infer_relations(kinds: DataFrame, links: DataFrame) -> DataFrame:
-    """name, domain_class, range_class, cardinality, source_table: a reference is N:1, a relationship table joins its first two N:N."""
+    """name, domain_class, range_class, cardinality, source_table: a reference is N:1, a relationship table joins its first two references N:N where both are to classes."""
     last = F.element_at(F.split("ref_table", r"\."), -1)
     ends = kinds.select(F.col("table_name").alias("_ref"), F.col("class_name").alias("range_class"), F.col("kind").alias("_kind"))
-    met = links.withColumn("_ref", last).join(kinds, "table_name").join(ends, "_ref").where("_kind <> 'relationship'")
+    every = links.withColumn("_ref", last).join(kinds, "table_name").join(ends, "_ref", "left")
+    met = every.where("_kind <> 'relationship'")
     stem = F.regexp_extract("column_name", KEY, 1)
     named = F.when(stem != "", F.regexp_replace(F.lower(F.concat(F.lit("has_"), stem)), "__", "_")).otherwise(F.lower(F.concat(F.lit("belongs_to_"), "range_class")))
     single = met.where("kind <> 'relationship'").select(named.alias("name"), F.col("class_name").alias("domain_class"), "range_class", F.lit("N:1").alias("cardinality"), F.col("table_name").alias("source_table"))
-    both = met.where("kind = 'relationship'").groupBy("table_name", "class_name").agg(F.sort_array(F.collect_list(F.struct("position", "range_class"))).alias("sides")).where(F.size("sides") >= 2)
+    side = F.when(F.col("_kind") != "relationship", F.col("range_class")).alias("range_class")
+    both = every.where("kind = 'relationship'").groupBy("table_name", "class_name").agg(F.sort_array(F.collect_list(F.struct("position", side))).alias("sides")).where(F.size("sides") >= 2)
+    both = both.where(F.col("sides")[0]["range_class"].isNotNull() & F.col("sides")[1]["range_class"].isNotNull())
     many = both.select(F.lower("class_name").alias("name"), F.col("sides")[0]["range_class"].alias("domain_class"), F.col("sides")[1]["range_class"].alias("range_class"), F.lit("N:N").alias("cardinality"), F.col("table_name").alias("source_table"))
     return single.unionByName(many)
 
 
+def declared(spark: SparkSession, view: SemanticView, columns: dict[str, list[str]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(columns, keys, links) of the base tables that a semantic view names, by its own keys and relationships, for classify and infer_relations."""
+    of = {t.alias.lower(): t.source.split(".")[-1] for t in view.tables if not t.source.startswith("(")}
+    named = sorted({(of[a], c) for a, cs in columns.items() if a.lower() in of for c in cs})
+    keys = sorted({(of[t.alias.lower()], c) for t in view.tables if t.alias.lower() in of for c in t.primary_key})
+    links = sorted({(of[r.left.lower()], a, of[r.right.lower()], b) for r in view.relationships if {r.left.lower(), r.right.lower()} <= set(of) for a, b in zip(r.left_keys, r.right_keys)})
+    pairs = "table_name string, column_name string"
+    numbered = [(*x, k) for k, x in enumerate(links)]
+    return spark.createDataFrame(named, pairs), spark.createDataFrame(keys, pairs), spark.createDataFrame(numbered, f"{pairs}, ref_table string, ref_column string, position int")
+
+
 def depth(classes: DataFrame, levels: int = 20) -> DataFrame:
     """class_id, depth: least steps from a class without a parent; classes that only a cycle reaches are left out."""
     out = cut(classes.where("parent is null").select("class_id").distinct()).withColumn("depth", F.lit(0))
@@ -114,7 +132,7 @@ def depth(classes: DataFrame, levels: int = 20) -> DataFrame:
 
 
 def coverage(classes: DataFrame, mapped: DataFrame, levels: int = 20) -> DataFrame:
-    """class_id, status: mapped (class_id is in ``mapped``), abstract (it has a class below), covered (an ancestor is mapped), unmapped."""
+    """class_id, status: mapped (class_id is in ``mapped``), abstract (by is_abstract, where classes say), covered (an ancestor is mapped), unmapped; the first that fits."""
     own = classes.select("class_id").distinct()
     up = classes.where("parent is not null").select("class_id", "parent").distinct()
     told = mapped.select("class_id").distinct()
@@ -124,9 +142,10 @@ def coverage(classes: DataFrame, mapped: DataFrame, levels: int = 20) -> DataFra
         if front.isEmpty():
             break
         below = below.unionByName(front)
+    abstract = classes.where(F.col("is_abstract") if "is_abstract" in classes.columns else F.lit(False)).select("class_id").distinct()
     flag = lambda df, name: df.withColumn(name, F.lit(True))
-    met = own.join(flag(told, "m"), "class_id", "left").join(flag(up.select(F.col("parent").alias("class_id")).distinct(), "a"), "class_id", "left").join(flag(below.distinct(), "c"), "class_id", "left")
-    return met.select("class_id", F.when(F.col("m"), "mapped").when(F.col("c"), "covered").when(F.col("a"), "abstract").otherwise("unmapped").alias("status"))
+    met = own.join(flag(told, "m"), "class_id", "left").join(flag(abstract, "a"), "class_id", "left").join(flag(below.distinct(), "c"), "class_id", "left")
+    return met.select("class_id", F.when(F.col("m"), "mapped").when(F.col("a"), "abstract").when(F.col("c"), "covered").otherwise("unmapped").alias("status"))
 
 
 def class_views(nodes: DataFrame, mapping: DataFrame, prefix: str = "vw_ont_") -> list[str]:

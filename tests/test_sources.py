@@ -14,7 +14,7 @@ from quillon.governance.ops import dedup_loads
 from quillon.governance.policies import Policies, SecurityContext
 from quillon.model.yaml_io import from_yaml, to_yaml
 from quillon.operators import graph
-from quillon.sources import ontology, tables
+from quillon.sources import ontology, rdf, tables
 
 FULL = """
 name: FULL
@@ -108,7 +108,7 @@ def test_ontology_files(spark, tmp_path):
     lines = [f"<{a}Cat> <{t}> <{o}Class> .", f"<{a}Animal> <{t}> <{o}Class> .", f"<{a}Cat> <{s}subClassOf> <{a}Animal> .", f'<{a}Cat> <{s}label> "The cat"@en .', f"<{a}eats> <{t}> <{o}ObjectProperty> .", f"<{a}eats> <{s}domain> <{a}Cat> .", f"<{a}eats> <{s}range> <{a}Animal> .", f"<{a}eats> <{t}> <{o}TransitiveProperty> .", "# not a triple"]
     (tmp_path / "o.nt").write_text("\n".join(lines))
     triples = ontology.read_triples(spark, f"file://{tmp_path}/o.nt")
-    assert sorted(map(tuple, ontology.classes_of(triples).collect())) == [("Animal", "Animal", None), ("Cat", "The cat", "Animal")]
+    assert sorted(map(tuple, ontology.classes_of(triples).collect())) == [("Animal", "Animal", None, True), ("Cat", "The cat", "Animal", False)]
     assert [tuple(r) for r in ontology.relations_of(triples).collect()] == [("eats", "Cat", "Animal", False, True)]
     (tmp_path / "o.json").write_text('{"classes": [{"name": "Cat", "parents": ["Animal"]}, {"name": "Animal"}], "relations": [{"name": "eats", "domain_class": "Cat", "range_class": "Animal"}]}')
     classes, relations = ontology.read_json(spark, f"file://{tmp_path}/o.json")
@@ -137,3 +137,36 @@ def test_walks(spark):
     assert [r.relationship for r in graph.hierarchy_path(nodes, chain, "N5", "N3").orderBy("step").collect()] == ["START", "subClassOf", "subClassOf"]
     two = chain.unionByName(spark.createDataFrame([("n2", "n0", "subClassOf")], chain.schema))
     assert graph.descendants(nodes, two, "N0").where("node_id = 'n2'").count() == 2
+
+
+def test_one_ontology_in_three_formats(spark, tmp_path):
+    turtle = """@base <http://x/o> . @prefix : <#> . PREFIX owl: <http://www.w3.org/2002/07/owl#>
+@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . # a comment
+<#Animal> a owl:Class ; rdfs:label \"\"\"Any "living"
+thing\"\"\"@en .
+:Cat a owl:Class ; rdfs:subClassOf :Animal , [ a owl:Restriction ; owl:onProperty :eats ; owl:minCardinality 1 ] ; rdfs:label 'The \\u0063at' ;.
+:Pet a owl:Class ; owl:unionOf ( :Cat :Dog ) .
+:eats a owl:ObjectProperty, owl:TransitiveProperty ; rdfs:domain :Cat ; rdfs:range :Animal .
+[] rdfs:comment "x"^^<http://www.w3.org/2001/XMLSchema#string> ."""
+    xml = """<?xml version="1.0"?>
+<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xml:base="http://x/o">
+<owl:Class rdf:about="#Animal"><rdfs:label xml:lang="en">Any "living"
+thing</rdfs:label></owl:Class>
+<owl:Class rdf:ID="Cat" rdfs:label="The cat"><rdfs:subClassOf rdf:resource="#Animal"/>
+ <rdfs:subClassOf><owl:Restriction><owl:onProperty rdf:resource="#eats"/><owl:minCardinality>1</owl:minCardinality></owl:Restriction></rdfs:subClassOf></owl:Class>
+<owl:Class rdf:about="http://x/o#Pet"><owl:unionOf rdf:parseType="Collection"><rdf:Description rdf:about="#Cat"/><rdf:Description rdf:about="#Dog"/></owl:unionOf></owl:Class>
+<owl:ObjectProperty rdf:about="#eats"><rdf:type rdf:resource="http://www.w3.org/2002/07/owl#TransitiveProperty"/><rdfs:domain rdf:resource="#Cat"/><rdfs:range rdf:resource="#Animal"/></owl:ObjectProperty>
+<rdf:Description><rdfs:comment>x</rdfs:comment></rdf:Description></rdf:RDF>"""
+    for name, text in (("o.ttl", turtle), ("o.owl", xml)):
+        (tmp_path / name).write_text(text)
+    a, b = rdf.read_turtle(spark, f"file://{tmp_path}/o.ttl"), rdf.read_rdf_xml(spark, f"file://{tmp_path}/o.owl")
+    shape = lambda df: sorted(tuple("_" if x.startswith("_:") else x for x in r) for r in df.collect())
+    assert shape(a) == shape(b) and a.count() == 20
+    (tmp_path / "o.nt").write_text("\n".join(f"<{s}> <{p}> <{o}> ." if ":" in o else f'<{s}> <{p}> "{o}" .' for s, p, o in shape(a) if "_" not in (s, o) and "\n" not in o))
+    c = ontology.read_triples(spark, f"file://{tmp_path}/o.nt")
+    told = lambda df: sorted(map(str, ontology.relations_of(df).collect())), sorted({(r.class_id, r.parent, r.is_abstract) for r in ontology.classes_of(df).collect() if r.parent is None or "-b" not in r.parent})
+    assert told(a) == told(b) == told(c)
+    assert [r.label for r in ontology.classes_of(a).where("class_id = 'Animal'").collect()] == ['Any "living"\nthing']
+    for bad in ("<a> <b> .", "x:y a <c> .", "<a> <b> [ <c> .", "<a> <b> %"):
+        with pytest.raises(ValueError):
+            rdf.Turtle(bad)
