@@ -157,6 +157,24 @@ least AS (SELECT a, min(b) AS m FROM walk GROUP BY a), links AS (SELECT a, count
 SELECT vec_id, coalesce(links.n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept
 FROM v LEFT JOIN least ON least.a = vec_id LEFT JOIN links ON links.a = vec_id
 """
+ORACLES["op11_spelling"] = r"""
+WITH RECURSIVE crc_table AS (SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+runs AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY 1, 2),
+coded AS (SELECT run, c, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs),
+bytes AS (SELECT run, c, list_transform(range(1, length(x), 2), lambda i: 16 * (strpos('0123456789ABCDEF', substr(x, i, 1)) - 1) + strpos('0123456789ABCDEF', substr(x, i + 1, 1)) - 1) AS b FROM coded),
+hashed AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295, b), lambda h, y: xor(h // 256, t[xor(h, y) % 256 + 1])), 4294967295) AS h FROM bytes, crc_table),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (SELECT c, CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed) WHERE length(word) >= 5 GROUP BY 1 HAVING sum(c) >= 3),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+opened AS (SELECT word, n, left(word, i - 1) || '_' || substr(word, i + 1) AS p, left(word, i - 1) || substr(word, i + 1) AS d FROM places),
+cut AS (SELECT DISTINCT o.word AS long, o.n AS long_n, w.word AS short, w.n AS short_n FROM opened o JOIN words w ON w.word = o.d),
+pairs AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM opened a JOIN opened b ON a.p = b.p AND a.word <> b.word
+  UNION ALL SELECT long, long_n, short, short_n FROM cut UNION ALL SELECT short, short_n, long, long_n FROM cut),
+near AS (SELECT word, n, count(*) AS n_near, max(other_n) AS most, arg_min(other, {'a': -other_n, 'b': other}) AS best FROM pairs GROUP BY 1, 2),
+forms AS (SELECT word, best AS form, most FROM near WHERE most >= 2 * n),
+walk(word, final, step) AS (SELECT word, form, 1 FROM forms UNION ALL SELECT w.word, f.form, step + 1 FROM walk w JOIN forms f ON f.word = w.final),
+ends AS (SELECT word, arg_max(final, step) AS root FROM walk GROUP BY 1)
+SELECT word, form, coalesce(root, word) AS root, words.n AS n, coalesce(n_near, 0) AS n_near, forms.most AS form_n FROM words LEFT JOIN near USING (word) LEFT JOIN forms USING (word) LEFT JOIN ends USING (word)
+"""
 ORACLES["op10_url_filter"] = r"""
 WITH rules(rh, rp, rv) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'),
   ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
