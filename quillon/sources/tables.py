@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -24,15 +24,18 @@ def insert(df: DataFrame, path: str, by: list[str] = ()) -> None:
 
 
 def insert_if_absent(df: DataFrame, path: str, keys: list[str]) -> int:
-    """Append the rows whose keys the table does not have (nulls are equal), one row for each key; how many were new."""
+    """Append the rows whose keys the table does not have (nulls are equal), one row for each key; how many were new.
+
+    One writer at a time: what another appends meanwhile is not seen.
+    """
     spark = df.sparkSession
     new = df.dropDuplicates(keys)
     if exists(spark, path):
         held = spark.read.parquet(path).select(*[F.col(k).alias(f"_h{n}") for n, k in enumerate(keys)]).distinct()
         new = new.join(held, [F.col(k).eqNullSafe(F.col(f"_h{n}")) for n, k in enumerate(keys)], "left_anti")
-    before = spark.read.parquet(path).count() if exists(spark, path) else 0
-    insert(new, path)
-    return spark.read.parquet(path).count() - before
+    seen = Observation()
+    insert(new.observe(seen, F.count(F.lit(1)).alias("n")), path)
+    return seen.get["n"]
 
 
 def replace_part(df: DataFrame, path: str, column: str, value: str) -> None:
