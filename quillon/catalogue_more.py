@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.catalogue import ANALYST, TOTAL, _read, engine, guarded, op
+from quillon.catalogue import ANALYST, TOTAL, _kg, _read, engine, guarded, op
 from quillon.engine import Engine
 from quillon.errors import SemanticError
+from quillon.model.generated import Ontology, deploy_models
+from quillon.model.introspect import verified_answer
 from quillon.operators.ordered import numbered, running
 from quillon.streaming.dynamic import DynamicTable
 
@@ -186,3 +188,25 @@ def _dynamic(spark: SparkSession, d: str) -> DataFrame:
 
 
 op("dynamic_table", _dynamic, "SELECT o_custkey, count(o_orderkey) AS n, min(o_totalprice) AS least, max(o_totalprice) AS most FROM orders GROUP BY 1")
+
+
+# Models generated from an ontology over the graph of nations and customers ----------------------
+
+GRAPH = Ontology("geo", {"Region": ("region", {"r_regionkey": "int"}), "Nation": ("nation", {"n_nationkey": "int"}), "Customer": ("customer", {"c_mktsegment": "string", "c_acctbal": "double"})}, {"subClassOf": ("Customer", "Nation")}, {"Region": "Place", "Nation": "Place"})
+
+
+def generated(name: str, model: str, question: str, oracle: str) -> None:
+    """Register a generated model's verified query, asked in its own words."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        e = Engine(spark)
+        nodes, edges = _kg(spark, d)
+        deploy_models(e, GRAPH, nodes, edges.where("src_id LIKE 'customer:%'"))
+        return verified_answer(e, model, question)
+
+    op(name, run, oracle)
+
+
+generated("generated_entity_counts", "geo_ontology_model", "How many entities of each type exist?", "SELECT 'Region' AS entity_type, count(*) AS entity_count FROM region UNION ALL SELECT 'Nation', count(*) FROM nation UNION ALL SELECT 'Customer', count(*) FROM customer")
+generated("generated_links_by_target", "geo_kg_model", "Which Nation has the most Customer by subClassOf?", "SELECT n_name AS nation_name, count(*) AS subclassof_links FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+generated("generated_cross_type", "geo_ontology_model", "What relationships connect different entity types?", "SELECT 'customer' AS src_type, 'subClassOf' AS rel_name, 'nation' AS dst_type, count(*) AS link_count FROM customer JOIN nation ON c_nationkey = n_nationkey")
