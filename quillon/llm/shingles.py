@@ -1,15 +1,20 @@
-"""Near-duplicates by the Jaccard similarity of their word shingles: MinHash bands propose, the sets decide.
-
-BANDS bands of ROWS minima miss a pair of similarity 0.8 with a chance of
-3e-5, less alike ones are compared and refused. Texts with equal sets are one
+"""Near-duplicates by the Jaccard similarity of their word shingles: SimHash trees and MinHash bands propose, the sets decide.
+
+A set's SimHash fingerprint goes through the vantage-point trees of
+``quillon.llm.simhash``: sets whose fingerprints three bits connect are one
+bucket. At a similarity of 0.8 fingerprints differ by more bits than trees can
+search, so MinHash bands propose what the trees cannot: BANDS bands of ROWS
+minima miss a pair of similarity 0.8 with a chance of 3e-5. What is less alike
+is compared and refused, whoever proposes it. Texts with equal sets are one
 point; buckets with the same members are compared once. Buckets are dealt in
 blocks of BLOCK, by a hash of bucket and point, so the blocks of one group
 differ from bucket to bucket and join; where a large bucket is still in several
 components, all that is outside its largest is compared with everything in it.
 Nothing is capped.
 
-Texts are dealt once. Only rows whose set is another row's too, or is proposed,
-can go, and only they meet a verdict afterwards.
+All texts are dealt once, to be told what is known by then: a copy of another
+row's set goes, and only the one row of a set that is proposed is open. Texts,
+which are smaller than their sets, are what meets in buckets.
 """
 
 from __future__ import annotations
@@ -25,10 +30,11 @@ from pyspark.sql import functions as F
 from quillon.llm.components import components
 from quillon.llm.embedding_dedup import _runs
 from quillon.llm.shared import carried, partitions, stash
+from quillon.llm.simhash import link_edges
 
 LEAST, BANDS, ROWS, BLOCK = 0.8, 20, 4, 128
-#: Bands are compared in steps: most of what is alike is joined in the first, and of the later ones only buckets that are not one component yet are compared.
-STEPS = (0, 2, BANDS)
+#: Buckets are compared in steps: most of what is alike is joined in the first (the trees' buckets and two bands), and of the later bands only buckets that are not one component yet are compared.
+TREES, STEPS = -1, (-1, 2, BANDS)
 _SEEDS = np.random.default_rng(7).integers(0, 2**64, (2, BANDS * ROWS), "u8") | np.uint64(1)
 
 
@@ -52,6 +58,12 @@ def bands(own: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)], "u8")
 
 
+def print_of(own: np.ndarray) -> int:
+    """SimHash of a set: a bit is set where over half the members have it."""
+    bits = np.unpackbits(own.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i8")
+    return int.from_bytes(np.packbits(2 * bits > len(own), bitorder="little").tobytes(), "little")
+
+
 def alike(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
     if min(len(a), len(b)) < least * max(len(a), len(b)):
         return False
@@ -81,28 +93,15 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             sets = [shingle_set(x.as_py(), words) for x in batch.column(2)]
             keys = np.array([set_key(s) for s in sets], "u8").view("i8")
+            prints = np.array([print_of(s) for s in sets], "u8").view("i8")
             marks = [bands(s).view("i8") for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array(marks, pa.list_(pa.int64()))], ["doc_id", "row", "key", "bands"])
-
-    return rows.select(_doc_id().alias("doc_id"), ROW, _text().alias("text")).mapInArrow(run, "doc_id long, row long, key long, bands array<long>")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array(prints), pa.array(marks, pa.list_(pa.int64()))], ["doc_id", "row", "key", "fp", "bands"])
 
+    return rows.select(_doc_id().alias("doc_id"), ROW, _text().alias("text")).mapInArrow(run, "doc_id long, row long, key long, fp long, bands array<long>")
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """own (the key that is meant, or null), key, grams of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 64):
-                part = batch.slice(low, 64)
-                sets = [shingle_set(x.as_py(), words) for x in part.column(1)]
-                keys = np.array([set_key(s) for s in sets], "u8").view("i8")
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array([s.view("i8") for s in sets], pa.list_(pa.int64()))], ["own", "key", "grams"])
-
-    return docs.mapInArrow(run, "own long, key long, grams array<long>")
 
-
-def _verify(dealt: DataFrame) -> DataFrame:
-    """dealt: cell, key, root, side, grams -> a, b: links that connect what the cells' similar sets connect and roots do not yet.
+def _verify(dealt: DataFrame, words: int) -> DataFrame:
+    """dealt: cell, key, root, side, text -> a, b: links that connect what the cells' similar sets connect and roots do not yet.
 
     Two of side 1 meet elsewhere and are not compared.
     """
@@ -112,7 +111,9 @@ def _verify(dealt: DataFrame) -> DataFrame:
             keys, first = np.unique(group.column(1).to_numpy(), return_index=True)
             root = group.column(2).to_numpy()[first]
             side = group.column(3).to_numpy()[first]
-            sets = [np.asarray(group.column(4)[int(k)].values.to_numpy()).view("u8") for k in first]
+            if (root == root[0]).all():
+                continue
+            sets = [shingle_set(group.column(4)[int(k)].as_py(), words) for k in first]
             found = []
             for i in range(len(keys)):
                 for j in range(i):
@@ -126,25 +127,42 @@ def _verify(dealt: DataFrame) -> DataFrame:
     return dealt.repartition(partitions(spark), "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
+def _buckets(points: DataFrame) -> DataFrame:
+    """points: key, fp, bands -> key, band, cell: a bucket of the trees and one of each band for each key."""
+    prints = stash(points.select("fp").distinct(), "prints")
+    groups = stash(components(link_edges(prints)), "groups")
+    met = points.select("key", "fp").join(groups, F.col("fp") == F.col("node"), "left")
+    trees = met.select("key", F.lit(TREES).alias("band"), F.xxhash64(F.lit("trees"), F.coalesce("root", "fp")).alias("cell"))
+    return trees.unionByName(points.select("key", F.posexplode("bands").alias("band", "cell")))
+
+
 def _grouped(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(stored prints: doc_id, row, key; stored own, row and risk; stored key, component_id)."""
+    """(stored prints: doc_id, row, key; told: own, row, open, times; named: key, doc, own, root).
+
+    told lacks what goes in any case. Of its rows, open is the key of those that
+    are their set's only ones left and proposed; times is over 1 for one that is repeated.
+    """
     rows = _rowed(docs)
     prints = stash(_sketches(rows, words), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "row")).alias("first")
-    points = prints.groupBy("key").agg(F.count("*").alias("n"), first, F.first("bands").alias("bands"))
-    points = stash(points.select("key", "n", F.col("first.doc_id").alias("doc"), F.col("first.row").alias("own"), "bands"), "points")
-    each = points.select("key", F.posexplode("bands").alias("band", "cell"))
+    points = prints.groupBy("key").agg(F.count("*").alias("n"), first, F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    points = stash(points.select("key", "n", F.col("first.doc_id").alias("doc"), F.col("first.row").alias("own"), "fp", "bands"), "points")
+    each = _buckets(points)
     same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"), F.min("band").alias("band")]
     cells = each.groupBy("cell").agg(*same).where("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("band", "cell")).alias("c"))
     cells = stash(cells.select("c.cell", "c.band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "cells")
     posted = stash(each.drop("band").join(cells, "cell").withColumn("salt", F.pmod(F.xxhash64("cell", "key"), F.col("blocks")).cast("int")), "posted")
     wanted = posted.select("key").distinct().withColumn("wanted", F.lit(True))
-    risky = points.select("key", "n", "own").join(wanted, "key", "left").where("n > 1 or wanted")
-    risk = prints.select("row", "key").distinct().join(stash(risky, "risky"), "key")
-    risk = stash(risk.select(F.col("row").alias(ROW), F.when(F.col("wanted") & (F.col("row") == F.col("own")), F.col("key")).alias("meant"), F.lit(True).alias("risk")), "risk")
-    told = stash(rows.join(risk, ROW, "left"), "texts")
-    sets = _sets(told.where("meant is not null").select("meant", _text().alias("text")), words)
-    sets = stash(sets.dropDuplicates(["key"]).select("key", "grams"), "sets")
+    risky = stash(points.select("key", "n", "own").join(wanted, "key", "left").where("n > 1 or wanted"), "risky")
+    # Of equal sets one row stays, the first; others go at once, but for those that cannot be told apart.
+    counted = prints.groupBy("row", "key", F.col("doc_id").isNull().alias("void")).agg(F.count("*").alias("times")).join(risky, "key")
+    lead = F.col("row") == F.col("own")
+    marks = [F.when(lead & F.col("wanted"), F.col("key")).alias("open"), (~lead & ~F.col("void")).alias("gone"), F.when(~F.col("void"), F.col("times")).otherwise(1).alias("times")]
+    risk = stash(counted.select(F.col("row").alias(ROW), *marks).where("open is not null or gone or times > 1"), "risk")
+    told = rows.join(risk, ROW, "left").where(~F.coalesce("gone", F.lit(False))).select("own", ROW, "open", F.coalesce("times", F.lit(1)).alias("times"))
+    told = stash(told, "texts")
+    texts = told.where("open is not null").select(F.col("open").alias("key"), _text().alias("text"), "times")
+    texts = stash(texts.where("times = 1").unionByName(texts.where("times > 1").dropDuplicates(["key"])).select("key", "text"), "open")
 
     def rooted(rows: DataFrame, links: DataFrame | None) -> DataFrame:
         """rows of cells whose keys are in several components of links, with each key's root."""
@@ -156,7 +174,7 @@ def _grouped(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, DataFra
         return told.join(stash(apart, "apart"), "cell", "left_semi")
 
     def compared(dealt: DataFrame) -> DataFrame:
-        return stash(_verify(dealt.join(sets, "key").select("cell", "key", "root", "side", "grams")), "links")
+        return stash(_verify(dealt.join(texts, "key").select("cell", "key", "root", "side", "text"), words), "links")
 
     links, both = None, F.lit(0).alias("side")
     for low, high in zip(STEPS, STEPS[1:]):
@@ -178,9 +196,8 @@ def _grouped(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, DataFra
         pair = F.transform(F.sequence(F.lit(0), F.col("strays") - 1), lambda t: F.xxhash64("cell", F.least(salt, t), F.greatest(salt, t)))
         links = links.unionByName(compared(main.unionByName(met).unionByName(stray.select(F.explode(pair).alias("cell"), "key", "root", both))))
     groups = components(links)
-    named = stash(points.join(groups, F.col("key") == F.col("node"), "left").select("key", "doc", F.coalesce("root", "key").alias("root")), "named")
-    least = stash(named.groupBy("root").agg(F.min("doc").alias("component_id")), "least")
-    return prints, told, stash(named.join(least, "root").select("key", "component_id"), "named")
+    named = points.join(groups, F.col("key") == F.col("node"), "left").select("key", "doc", "own", F.coalesce("root", "key").alias("root"))
+    return prints, told, stash(named, "named")
 
 
 def similar(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -189,6 +206,8 @@ def similar(docs: DataFrame, words: int = 5) -> DataFrame:
     Texts without words are alike. Rows with a null doc_id join components but name none.
     """
     prints, _, named = _grouped(docs.select("doc_id", "text"), words)
+    least = stash(named.groupBy("root").agg(F.min("doc").alias("component_id")), "least")
+    named = stash(named.join(least, "root").select("key", "component_id"), "named")
     return prints.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
 
 
@@ -197,11 +216,11 @@ def keep_one_alike(docs: DataFrame, words: int = 5) -> DataFrame:
 
     Rows with a null doc_id cannot be told apart and all stay. No rows give none.
     """
-    prints, told, named = _grouped(docs, words)
-    winners = prints.select("doc_id", "row", "key").join(named, "key").where("doc_id = component_id")
-    winners = stash(winners.groupBy("doc_id").agg(F.min("row").alias(ROW), F.count("*").alias("n")).select(ROW, "n"), "winners")
-    free = told.where(F.col("risk").isNull() | _doc_id().isNull())
-    asked = told.where(F.col("risk") & _doc_id().isNotNull())
-    once = asked.join(winners.where("n = 1").select(ROW), ROW, "left_semi")
-    again = asked.join(winners.where("n > 1").select(ROW), ROW, "left_semi").dropDuplicates([ROW])
-    return free.unionByName(once).unionByName(again).select("own.*")
+    _, told, named = _grouped(docs, words)
+    first = F.min(F.struct(F.col("doc").isNull().alias("void"), "doc", "own", "key")).alias("first")
+    winners = stash(named.groupBy("root").agg(first).select(F.col("first.key").alias("open")), "winners")
+    some = _doc_id().isNotNull()
+    free = told.where(~some | (F.col("open").isNull() & (F.col("times") == 1)))
+    asked = told.where(some & F.col("open").isNotNull()).join(winners, "open", "left_semi")
+    again = asked.where("times > 1").unionByName(told.where(some & F.col("open").isNull() & (F.col("times") > 1)).select(*asked.columns))
+    return free.select("own").unionByName(asked.where("times = 1").select("own")).unionByName(again.dropDuplicates([ROW]).select("own")).select("own.*")

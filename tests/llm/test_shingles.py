@@ -45,3 +45,28 @@ def test_whole_table(spark, sf):
     odd = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (7, "a b c"), (7, "a b c")], "doc_id long, text string")
     assert sorted(str(x.doc_id) for x in corpus_pipeline.near_duplicates(spark, odd, sf).collect()) == ["7", "None", "None"]
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), sf).count() == 0
+
+
+def test_trees_alone_find_what_three_bits_connect(spark, monkeypatch):
+    """Without bands the buckets of the SimHash trees still propose; the sets decide."""
+    monkeypatch.setattr(shingles, "bands", lambda own: np.random.default_rng(int(shingles.set_key(own))).integers(0, 2**64, shingles.BANDS, "u8"))
+    r, rows = np.random.default_rng(5), []
+    for g in range(6):
+        w = [f"w{x}" for x in r.integers(0, 4000, 400)]
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join([*w[:-1], "end"]))]
+    prints = [shingles.print_of(shingles.shingle_set(t, 5)) for _, t in rows]
+    near = [(a ^ b).bit_count() <= 3 for a, b in zip(prints[::2], prints[1::2])]
+    assert sum(near) >= 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(x.doc_id for x in shingles.keep_one_alike(docs).collect())
+    assert got == sorted(d for d, _ in rows if d % 2 == 0 or not near[d // 2])
+
+
+def test_copies_go_before_texts_meet(spark):
+    """What goes in any case is not stored with the texts, and a set meets its bucket once."""
+    text = " ".join(f"w{k}" for k in range(100))
+    rows = [(d, text) for d in range(50)] + [(50, text), (50, text), (60, text + " more"), (60, text + " more"), (70, "alone here"), (70, "alone here"), (None, text), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, told, _ = shingles._grouped(docs, 5)
+    assert sorted(str(r.own.doc_id) for r in told.collect()) == ["0", "60", "60", "70", "70", "None", "None"]
+    assert sorted(str(r.doc_id) for r in shingles.keep_one_alike(docs).collect()) == ["0", "70", "None", "None"]
