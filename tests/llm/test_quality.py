@@ -138,3 +138,21 @@ def test_odd_tables(spark):
     clash = docs.withColumns({"kept": F.lit("x"), "limit": F.lit(3), "key": F.lit(1), "group": F.lit(2)})
     assert sorted(map(str, keep_good(clash, none).collect())) == sorted(map(str, clash.collect()))
     assert ALL != "" and probabilities and stash
+
+
+def test_all_labels_are_trusted_by_either_join(spark, sf, monkeypatch):
+    many = spark.range(1_300_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert trusted_ids(many).count() == 1_300_000
+    ids = [-(1 << 40), -65, -64, -1, 0, 62, 63, 64, 127, 1 << 40, None]
+    docs = spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in ids[::2]] + [(62, 0, 0), (64, 1, 1)], "doc_id long, quality int, toxic int")
+    docs_sf, labels_sf = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    verdicts = []
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(quality, "BROADCAST", most)
+        flagged, far = quality._flagged(docs, labels)
+        assert far == (most == 0)
+        assert sorted(r.doc_id for r in flagged.where("trusted").collect()) == sorted({*ids[:-1:2]} - {62, 64})
+        assert flagged.count() == len(ids)
+        verdicts.append(sorted((r.doc_id, r.trusted, r.n_symbols, round(r.score, 4), r.kept) for r in classify(docs_sf, labels_sf).collect()))
+    assert verdicts[0] == verdicts[1]
