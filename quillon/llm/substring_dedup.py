@@ -25,6 +25,7 @@ fresh from stored tables, so that the adaptive planner can split them.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 from quillon.llm.shared import stash
 
 WINDOW, SEED = 35, 8
+#: Characters of texts that are cut into segments at once.
+GROUP = 100_000
 #: Odd base of the polynomial hashes modulo 2**64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -60,10 +63,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """A text's words and hashes of any runs of them."""
+    """The words of a text, or of several one after the other, and hashes of any runs of them."""
 
-    def __init__(self, text: str | None):
-        self.words = (text or "").encode().split()  # bytes split at ASCII white space only
+    def __init__(self, *texts: str | None):
+        each = [(t or "").encode().split() for t in texts]  # bytes split at ASCII white space only
+        self.sizes = list(map(len, each))
+        self.words = each[0] if len(each) == 1 else list(itertools.chain.from_iterable(each))
         self.sums = self.joined = None
 
     def hashes(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
@@ -83,9 +88,9 @@ class Words:
         return np.frombuffer(out, "<i8").reshape(-1, 2)
 
     def segments(self, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, ...]:
-        """(first window, windows, smallest seed hash) of each segment."""
-        n = len(self.words) - window + 1
-        if n < 1:
+        """(first window, windows, smallest seed hash) of each segment; no window is in two texts."""
+        total = len(self.words) - window + 1
+        if total < 1 or max(self.sizes) < window:
             return np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "u8")
         seeds = self.hashes(np.arange(len(self.words) - seed + 1), seed)
         best, width, need = np.arange(len(seeds)), 1, window - seed + 1
@@ -93,8 +98,13 @@ class Words:
             step = min(width, need - width)
             a, b = best[:-step], best[step:]
             best, width = np.where(seeds[b] < seeds[a], b, a), width + step
+        at = np.arange(total)
+        if len(self.sizes) > 1:
+            ends = np.cumsum(self.sizes)
+            at = at[at + window <= np.repeat(ends, self.sizes)[:total]]
+            best = best[at]
         first = np.flatnonzero(np.diff(best, prepend=-1))
-        return first, np.diff(first, append=n), seeds[best[first]]
+        return at[first], np.diff(first, append=len(at)), seeds[best[first]]
 
     def removed(self, spans: list[tuple[int, int]], window: int = WINDOW) -> np.ndarray:
         """Mask of the words that windows of the spans (first window, end) cover."""
@@ -115,27 +125,47 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"k1": F.coalesce("doc_id", F.lit(-(1 << 63))), "k2": F.xxhash64("doc_id", "text")})
 
 
-def _segments(rows: DataFrame, window: int) -> DataFrame:
-    """k1, k2, text -> k1, k2, first, n, g (smallest hash), d1, d2 (digest), a, b (hashes of the nodes at its ends) of each segment."""
+def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of texts of about GROUP characters."""
+    low = held = 0
+    for k, text in enumerate(texts):
+        held += len(text or "")
+        if held >= GROUP:
+            yield low, k + 1
+            low, held = k + 1, 0
+    if low < len(texts):
+        yield low, len(texts)
+
+
+CUT = [("k1", "long", "i8"), ("k2", "long", "i8"), ("first", "int", "i4"), ("n", "int", "i4"), ("g", "long", "i8"), ("d1", "long", "i8"), ("d2", "long", "i8"), ("a", "long", "i8"), ("b", "long", "i8")]
+
+
+def _segments(rows: DataFrame, window: int, columns: list[str] | None = None) -> DataFrame:
+    """k1, k2, text -> k1, k2, first, n, g (smallest hash), d1, d2 (digest), a, b (hashes of the nodes at its ends) of each segment; or these columns alone."""
+    made = [(c, kind, np_kind) for c, kind, np_kind in CUT if columns is None or c in columns]
+    named = any(c in ("a", "b") for c, _, _ in made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
-                part, out = batch.slice(low, 512), []
+                part = batch.slice(low, 512)
                 k1, k2 = (part.column(c).to_numpy() for c in (0, 1))
-                for k, text in enumerate(part.column(2)):
-                    own = Words(text.as_py())
+                texts, out = part.column(2).to_pylist(), []
+                for a, b in _groups(texts):
+                    own = Words(*texts[a:b])
                     first, count, seed = own.segments(window)
                     if len(first):
-                        ends = own.hashes(np.concatenate([first, first[-1:] + count[-1:]]), window - 1).view("i8")
+                        start = np.cumsum(own.sizes) - own.sizes
+                        of = np.repeat(np.arange(b - a), own.sizes)[first]
                         digest = own.digests(first, count + window - 1)
-                        out.append((np.full(len(first), k), first, count, seed.view("i8"), digest[:, 0], digest[:, 1], ends[:-1], ends[1:]))
+                        ends = own.hashes(np.concatenate([first, first + count]), window - 1).view("i8") if named else np.zeros(2, "i8")
+                        got = {"k1": k1[a + of], "k2": k2[a + of], "first": first - start[of], "n": count, "g": seed.view("i8"), "d1": digest[:, 0], "d2": digest[:, 1], "a": ends[: len(first)], "b": ends[len(first) :]}
+                        out.append([got[c] for c, _, _ in made])
                 if out:
-                    at, *rest = (np.concatenate(x) for x in zip(*out))
-                    made = [pa.array(r.astype(t)) for r, t in zip(rest, ("i4", "i4", "i8", "i8", "i8", "i8", "i8"))]
-                    yield pa.RecordBatch.from_arrays([pa.array(k1[at]), pa.array(k2[at]), *made], ["k1", "k2", "first", "n", "g", "d1", "d2", "a", "b"])
+                    arrays = [pa.array(np.concatenate(x).astype(kind)) for x, (_, _, kind) in zip(zip(*out), made)]
+                    yield pa.RecordBatch.from_arrays(arrays, [c for c, _, _ in made])
 
-    return rows.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, first int, n int, g long, d1 long, d2 long, a long, b long")
+    return rows.select("k1", "k2", "text").mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind, _ in made))
 
 
 def _paths(whole: DataFrame) -> DataFrame:
@@ -163,7 +193,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = _keyed(docs)
     cut = _segments(rows, window)
     content = F.struct("d1", "d2")
-    met = cut.groupBy("g").agg(F.count("*").alias("times"), F.min(content).alias("lo"), F.max(content).alias("hi"))
+    # Cut once more, without the columns that are not asked for: storing all segments would take more disk than the texts.
+    met = _segments(rows, window, ["g", "d1", "d2"]).groupBy("g").agg(F.count("*").alias("times"), F.min(content).alias("lo"), F.max(content).alias("hi"))
     met = stash(met.where("times > 1").select("g", (F.col("lo") == F.col("hi")).alias("same")), "met")
     # From here on a row that is repeated is one row with its number of copies.
     columns = ["k1", "k2", "first", "n", "g", "d1", "d2", "a", "b"]
