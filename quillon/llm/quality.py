@@ -240,7 +240,7 @@ def _sums(posted: pa.Table, known: pa.Table) -> pa.Table:
         order = np.argsort(raw, kind="stable")
         sorted_of[x] = raw[order], lp[rows][order]
     out: list[tuple[np.ndarray, ...]] = []
-    for r in posted.to_pylist():
+    for r in (r for batch in posted.to_batches(max_chunksize=1) for r in batch.to_pylist()):  # one at a time: copies of all would be as large as the group
         keys = np.frombuffer(r["keys"], "<i8")
         total, n = np.zeros(len(keys)), np.zeros(len(keys), "i8")
         if r["grams"]:
