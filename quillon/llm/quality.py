@@ -47,6 +47,8 @@ PRIOR = 60
 FEWEST = 20
 #: Characters that are counted at once, input partitions whose n-grams meet in one group, shares of the n-grams.
 CHUNK, GROUP, SHARES = 1_500_000, 8, 8
+#: Rows read from a batch at once, n-grams written at once.
+ROWS, WRITTEN = 256, 1 << 16
 #: What an n-gram's code points are multiplied by to find its share.
 WEIGHTS = (1, 7, 31, 131)
 
@@ -62,27 +64,50 @@ def symbols(text: str | None) -> str:
 
 def _windows(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(text number, code) of every n-gram of the texts, and what ``_points`` reads codes by."""
-    each = [np.frombuffer(_marked(t).encode("utf-32-le"), "<u4") for t in texts]
-    cp, sizes = np.concatenate(each), np.array([len(x) for x in each])
+    marked = [_marked(t) for t in texts]
+    sizes = np.array([len(x) for x in marked])
+    cp = np.frombuffer(bytearray("".join(marked), "utf-32-le"), "<u4")
+    del marked
     cp[(cp >= 49) & (cp <= 57)] = 48
     found = np.zeros(0x110000, bool)
     found[cp] = True
     names, number = np.flatnonzero(found).astype("<u4"), np.zeros(0x110000, "i4")
     number[names] = np.arange(len(names))
-    own, at = number[cp], np.repeat(np.arange(len(texts), dtype="i4"), sizes)
-    starts = np.ones(len(cp), bool)
+    own, base, starts = number[cp], len(names), np.ones(len(cp), bool)
+    del found, number
     last = np.cumsum(sizes)
     for k in range(1, ORDER):
         starts[last - k] = False
-    start, base = np.flatnonzero(starts), len(names)
-    code = own[start].astype("i8")
+    at = np.repeat(np.arange(len(texts), dtype="i4"), sizes - ORDER + 1)
     if base**ORDER * len(texts) < 1 << 62:
-        for k in range(1, ORDER):
-            code = code * base + own[start + k]
-        return at[start], code, names, base
+        del cp
+        code = own[: len(own) - ORDER + 1].astype("i8")
+        for k in range(1, ORDER):  # in place: these arrays are what a worker's memory goes to
+            code *= base
+            code += own[k : len(own) - ORDER + 1 + k]
+        del own
+        return at, code[starts[: len(code)]], names, base
+    start = np.flatnonzero(starts)
+    code = own[start].astype("i8")
     for k in range(1, ORDER):  # very many symbols: shorter grams are numbered before they grow
         _, first, code = np.unique(code * base + own[start + k], return_index=True, return_inverse=True)
-    return at[start], code, np.stack([cp[start[first] + k] for k in range(ORDER)], axis=1), 0
+    return at, code, np.stack([cp[start[first] + k] for k in range(ORDER)], axis=1), 0
+
+
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Which of the sorted values are unlike the one before."""
+    out = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=out[1:])
+    return out
+
+
+def _runs(code: np.ndarray, base: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct code * base + least, sorted; how often each is there); code is used up."""
+    code *= base
+    code += least
+    code.sort()
+    first = np.flatnonzero(_firsts(code))
+    return code[first], np.diff(first, append=len(code)).astype("i4")
 
 
 def _points(code: np.ndarray, names: np.ndarray, base: int) -> np.ndarray:
@@ -95,7 +120,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, list[
     held: dict[tuple[int, str], tuple[list[str], list[int]]] = {}
     size: dict[tuple[int, str], int] = {}
     for batch in batches:
-        for group, lang, text, number in zip(*(c.to_pylist() for c in batch.columns)):
+        parts = (batch.slice(k, ROWS) for k in range(0, batch.num_rows, ROWS))
+        for group, lang, text, number in (row for part in parts for row in zip(*(c.to_pylist() for c in part.columns))):
             texts, numbers = held.setdefault((group, lang), ([], []))
             texts.append(text)
             numbers.append(number)
@@ -113,15 +139,19 @@ def _seen(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, lang, texts, fits in _chunks(batches):
             at, code, names, base = _windows(texts)
-            key = code * 2 + np.array(fits)[at]
-            key.sort()
-            first = np.flatnonzero(np.diff(key, prepend=-1))
-            count, key = np.diff(first, append=len(key)), key[first]
-            grams, of = np.unique(key >> 1, return_inverse=True)
-            n = np.bincount(of, count * (key & 1), len(grams)).astype("i8")
-            text = _points(grams, names, base).astype("<u4").tobytes().decode("utf-32-le")
-            strings = [text[k : k + ORDER] for k in range(0, len(text), ORDER)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), group, "i4")), pa.array([lang] * len(n)), pa.array(strings), pa.array(n)], ["group", "lang", "gram", "n"])
+            own = np.array(fits, "i1")[at]
+            del at, texts
+            key, count = _runs(code, 2, own)
+            del code, own
+            first = np.flatnonzero(_firsts(key >> 1))
+            n = np.add.reduceat(count * (key & 1), first) if len(first) else count
+            grams = key[first] >> 1
+            del key, count, first
+            for low in range(0, len(n), WRITTEN):
+                part = n[low : low + WRITTEN].astype("i8")
+                text = _points(grams[low : low + WRITTEN], names, base).astype("<u4").tobytes().decode("utf-32-le")
+                strings = [text[k : k + ORDER] for k in range(0, len(text), ORDER)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), group, "i4")), pa.array([lang] * len(part)), pa.array(strings), pa.array(part)], ["group", "lang", "gram", "n"])
 
     return rows.select("group", "lang", "text", "fits").mapInArrow(run, "group int, lang string, gram string, n long").groupBy("group", "lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -176,7 +206,7 @@ def unpack(raw: bytes) -> np.ndarray:
 
 def _share(points: np.ndarray) -> np.ndarray:
     """Which of SHARES an n-gram is in; ``_share_of`` says the same of a string."""
-    return (points.astype("i8") * np.array(WEIGHTS)).sum(axis=1) % SHARES
+    return (sum(points[:, k].astype("i8") * w for k, w in enumerate(WEIGHTS)) % SHARES).astype("u1")
 
 
 def _share_of(gram: Column) -> Column:
@@ -203,16 +233,21 @@ def _posted(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, lang, texts, keys in _chunks(batches):
             at, code, names, base = _windows(texts)
-            key = code * len(texts) + at
-            key.sort()
-            first = np.flatnonzero(np.diff(key, prepend=-1))
-            count, key = np.diff(first, append=len(key)), key[first]
-            code, doc = key // len(texts), key % len(texts)
-            start = np.flatnonzero(np.diff(code, prepend=-1))
+            many = len(texts)
+            del texts
+            key, count = _runs(code, many, at)
+            del code, at
+            code = key // many
+            key -= code * many
+            doc = key.astype("i4")
+            del key
+            start = np.flatnonzero(_firsts(code))
             size = np.diff(start, append=len(code))
             points = _points(code[start], names, base).astype("<u4")
-            share, gap = _share(points), np.diff(doc, prepend=0)
+            del code
+            share, gap = _share(points), np.diff(doc, prepend=np.int32(0))
             gap[start] = doc[start]
+            del doc, start
             share_of = np.repeat(share, size)
             named = np.array(keys, "<i8").tobytes()
             out = []

@@ -1,8 +1,12 @@
 """The model against a plain Kneser-Ney written out over dictionaries, and the classifier on held-out labels."""
 
 import math
+import tracemalloc
 from collections import Counter, defaultdict
+from unittest.mock import MagicMock
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +160,23 @@ def test_all_labels_are_trusted_by_either_join(spark, sf, monkeypatch):
         assert flagged.count() == len(ids)
         verdicts.append(sorted((r.doc_id, r.trusted, r.n_symbols, round(r.score, 4), r.kept) for r in classify(docs_sf, labels_sf).collect()))
     assert verdicts[0] == verdicts[1]
+
+
+@pytest.mark.parametrize("scan, most", [("_seen", 80), ("_posted", 90)])
+def test_a_chunk_needs_little_memory(monkeypatch, scan, most):
+    """MB at once over 1.5 million characters: two workers and 1800 MB of heap share an executor of 3000 MB."""
+    words = np.random.default_rng(3).integers(97, 123, (4000, 400), "u1")
+    words[:, ::7] = 32
+    texts = [bytes(w).decode() for w in words]
+    rows = MagicMock()
+    monkeypatch.setattr(quality, "F", MagicMock())
+    getattr(quality, scan)(rows)
+    run = rows.select.return_value.mapInArrow.call_args.args[0]
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * n), pa.array(["a"] * n), pa.array(texts), pa.array([k % 2 for k in range(n)])], ["group", "lang", "text", "number"])
+    tracemalloc.start()
+    try:
+        assert sum(out.num_rows for out in run(iter([batch])))
+        assert tracemalloc.get_traced_memory()[1] < most * 1e6
+    finally:
+        tracemalloc.stop()
