@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> dict:
     best = each.where(clear & (tells > least + math.log(max(1, each.count())))).where("h <> 0").orderBy(F.desc(tells), "h").limit(VOCABULARY).collect()
     df = {(None, r["h"]): [r[d] for d in DOMAINS] for r in best}
     if best and len(langs) > 1:
-        chosen = docs.sparkSession.createDataFrame([(r["h"],) for r in best], "h long")
+        chosen = docs.sparkSession.range(1).select(F.explode(_literal([r["h"] for r in best], "bigint")).alias("h"))
         rows = by_lang.where(F.col("_lang").isin(langs[1:])).join(F.broadcast(chosen), "h")  # VOCABULARY rows
         df |= {(r["_lang"], r["h"]): [r[d] for d in DOMAINS] for r in rows.collect()}  # at most LANGUAGES * VOCABULARY
     model: dict = {"langs": langs, "prior": [], "shapes": [], "words": {r["h"]: [] for r in best}}
@@ -237,7 +237,8 @@ def finish_rates(known: DataFrame, targets: dict[str, float], history: list[list
         return history
 
     def at(dual: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        free = F.col("base") - sum((x * F.lit(float(y)) for x, y in zip(p, dual, strict=True)), F.lit(0.0))
+        given = _literal([repr(float(y)) for y in dual], "double")  # as in rate_of: the compiled code is the same for every dual
+        free = F.col("base") - sum((x * F.get(given, F.lit(j)) for j, x in enumerate(p)), F.lit(0.0))
         rate, on = F.greatest(F.lit(0.0), free), (free > 0).cast("double")
         sums = start.agg(F.sum(F.col("n") * rate * rate), *[F.sum(F.col("n") * x * rate) for x in p], *[F.sum(F.col("n") * on * p[a] * p[b]) for a, b in pairs]).first()
         curve = np.diag(np.where(some, RIDGE * weight, 1.0))

@@ -11,6 +11,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of rows that a Python worker of the pipeline gets at once, and the setting that holds for it.
+BATCH, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 _scopes: list[list[str]] = []
 
 
@@ -69,6 +71,12 @@ def tidied(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Python workers of the session get BATCH bytes or a row at once: executor and worker both hold a batch whole. What the session has set itself stays."""
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, str(BATCH))
+
+
 def carried(df: DataFrame, columns: list[str] | None = None) -> Column:
     """The caller's columns as one struct, "own": no name of theirs can clash with what is made beside it."""
     return F.struct(*[F.col(f"`{c}`") for c in (df.columns if columns is None else columns)]).alias("own")

@@ -107,3 +107,14 @@ def test_no_labels_keep_everything(spark):
     docs = spark.createDataFrame([(k, f"a b {k}") for k in range(5)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert sorted(r.doc_id for r in draw(mix(docs, none, steps=12), nearest=True).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_fit_needs_no_python_workers(spark, monkeypatch):
+    def refused(*args, **more):
+        raise AssertionError("rows from the driver go through Python workers")
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    model = fit(docs, labels)
+    assert len(model["langs"]) > 1 and model["words"]  # the words' counts by language, which came by such rows

@@ -3,11 +3,13 @@
 import collections
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from test_shingles import brute
 
 from quillon.llm.quality import classify
 from quillon.llm.secrets import find, fit, redact
+from quillon.llm.shared import BATCH, BATCH_SETTING, small_batches
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +79,22 @@ def test_packing_has_every_document(stages):
 def test_run(spark, sf, stages):
     got = corpus_pipeline.run(spark, sf).toPandas()
     assert sorted(zip(got.doc_id, got.piece, got.ids_crc32)) == sorted(zip(*[stages["packing"][1][c] for c in ("doc_id", "piece", "ids_crc32")]))
+
+
+def test_workers_get_small_batches(spark, sf, monkeypatch):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    monkeypatch.setattr(corpus_pipeline, "redact_secrets", lambda docs: docs.mapInArrow(sizes, "n long"))
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('0123456789', 400) AS text")
+    got = [r.n for r in corpus_pipeline.secrets(spark, docs, sf).collect()]
+    assert sum(got) > 12_000_000
+    assert max(got) < 1.1 * BATCH  # one batch of 12 MB before
+
+
+def test_a_session_keeps_its_own_batches(spark):
+    other = spark.newSession()
+    other.conf.set(BATCH_SETTING, "1m")
+    small_batches(other)
+    assert other.conf.get(BATCH_SETTING) == "1m"
