@@ -11,12 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import partitions, stash
-
-
-def _small(df: DataFrame, name: str) -> DataFrame:
-    """Store a table of edges: a few bytes for each node, so an eighth of the tasks will do."""
-    return stash(df.coalesce(max(4, partitions(df.sparkSession) // 8)), name)
+from quillon.llm.shared import stash_small
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -29,17 +24,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Loops, repeats and edges with nulls do nothing; no edges give no rows.
     """
     ends = edges.where(F.col(a) != F.col(b))
-    held = _small(ends.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "edges")
+    held = stash_small(ends.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "edges")
     was, now = None, _mark(held)
     while now != was and now[0]:
         both = held.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(held.select("lo", "hi"))
-        least = _small(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "large")
+        least = stash_small(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "large")
         large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        large = _small(large.distinct(), "edges")
-        least = _small(large.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "k"), "small")
+        large = stash_small(large.distinct(), "edges")
+        least = stash_small(large.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "k"), "small")
         met = large.join(least, F.col("hi") == F.col("k"))
         small = met.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.select("k", "m"))
-        held = _small(small.distinct(), "edges")
+        held = stash_small(small.distinct(), "edges")
         was, now = now, _mark(held)
     return held.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(held.select("lo", "lo").distinct())
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.components import components
 from quillon.llm.embedding_dedup import _runs
-from quillon.llm.shared import carried, partitions, stash
+from quillon.llm.shared import carried, partitions, stash, stash_small
 from quillon.llm.simhash import link_edges
 
 LEAST, BANDS, ROWS, BLOCK = 0.8, 20, 4, 128
@@ -129,8 +129,8 @@ def _verify(dealt: DataFrame, words: int) -> DataFrame:
 
 def _buckets(points: DataFrame) -> DataFrame:
     """points: key, fp, bands -> key, band, cell: a bucket of the trees and one of each band for each key."""
-    prints = stash(points.select("fp").distinct(), "prints")
-    groups = stash(components(link_edges(prints)), "groups")
+    prints = stash_small(points.select("fp").distinct(), "prints")
+    groups = stash_small(components(link_edges(prints)), "groups")
     met = points.select("key", "fp").join(groups, F.col("fp") == F.col("node"), "left")
     trees = met.select("key", F.lit(TREES).alias("band"), F.xxhash64(F.lit("trees"), F.coalesce("root", "fp")).alias("cell"))
     return trees.unionByName(points.select("key", F.posexplode("bands").alias("band", "cell")))
@@ -150,15 +150,15 @@ def _grouped(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, DataFra
     each = _buckets(points)
     same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"), F.min("band").alias("band")]
     cells = each.groupBy("cell").agg(*same).where("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("band", "cell")).alias("c"))
-    cells = stash(cells.select("c.cell", "c.band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "cells")
+    cells = stash_small(cells.select("c.cell", "c.band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "cells")
     posted = stash(each.drop("band").join(cells, "cell").withColumn("salt", F.pmod(F.xxhash64("cell", "key"), F.col("blocks")).cast("int")), "posted")
     wanted = posted.select("key").distinct().withColumn("wanted", F.lit(True))
-    risky = stash(points.select("key", "n", "own").join(wanted, "key", "left").where("n > 1 or wanted"), "risky")
+    risky = stash_small(points.select("key", "n", "own").join(wanted, "key", "left").where("n > 1 or wanted"), "risky")
     # Of equal sets one row stays, the first; others go at once, but for those that cannot be told apart.
     counted = prints.groupBy("row", "key", F.col("doc_id").isNull().alias("void")).agg(F.count("*").alias("times")).join(risky, "key")
     lead = F.col("row") == F.col("own")
     marks = [F.when(lead & F.col("wanted"), F.col("key")).alias("open"), (~lead & ~F.col("void")).alias("gone"), F.when(~F.col("void"), F.col("times")).otherwise(1).alias("times")]
-    risk = stash(counted.select(F.col("row").alias(ROW), *marks).where("open is not null or gone or times > 1"), "risk")
+    risk = stash_small(counted.select(F.col("row").alias(ROW), *marks).where("open is not null or gone or times > 1"), "risk")
     told = rows.join(risk, ROW, "left").where(~F.coalesce("gone", F.lit(False))).select("own", ROW, "open", F.coalesce("times", F.lit(1)).alias("times"))
     told = stash(told, "texts")
     texts = told.where("open is not null").select(F.col("open").alias("key"), _text().alias("text"), "times")
@@ -168,10 +168,10 @@ def _grouped(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, DataFra
         """rows of cells whose keys are in several components of links, with each key's root."""
         if links is None:
             return rows.withColumn("root", F.col("key"))
-        groups = stash(components(links), "groups")
-        told = stash(rows.join(groups, F.col("key") == F.col("node"), "left").select("cell", "key", "blocks", "salt", F.coalesce("root", "key").alias("root")), "rooted")
+        groups = stash_small(components(links), "groups")
+        told = stash_small(rows.join(groups, F.col("key") == F.col("node"), "left").select("cell", "key", "blocks", "salt", F.coalesce("root", "key").alias("root")), "rooted")
         apart = told.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cell")
-        return told.join(stash(apart, "apart"), "cell", "left_semi")
+        return told.join(stash_small(apart, "apart"), "cell", "left_semi")
 
     def compared(dealt: DataFrame) -> DataFrame:
         return stash(_verify(dealt.join(texts, "key").select("cell", "key", "root", "side", "text"), words), "links")
@@ -184,10 +184,10 @@ def _grouped(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, DataFra
     large = posted.where("blocks > 1")
     if not large.isEmpty():
         # Of a large bucket most keys are one component by now: the others meet each of its blocks, and one another by pairs of their own blocks.
-        apart = stash(rooted(large, links).select("cell", "key", "blocks", "salt", "root"), "apart")
+        apart = stash_small(rooted(large, links).select("cell", "key", "blocks", "salt", "root"), "apart")
         sizes = apart.groupBy("cell", "root").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"))
-        sizes = stash(sizes.select("cell", F.col("most.root").alias("main"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("strays")), "sizes")
-        sided = stash(apart.join(sizes, "cell"), "sided")
+        sizes = stash_small(sizes.select("cell", F.col("most.root").alias("main"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("strays")), "sizes")
+        sided = stash_small(apart.join(sizes, "cell"), "sided")
         blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
         main = sided.where("root = main").select(F.xxhash64("cell", "salt", F.lit("main")).alias("cell"), "key", "root", both)
         stray = sided.where("root <> main")
@@ -197,7 +197,7 @@ def _grouped(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, DataFra
         links = links.unionByName(compared(main.unionByName(met).unionByName(stray.select(F.explode(pair).alias("cell"), "key", "root", both))))
     groups = components(links)
     named = points.join(groups, F.col("key") == F.col("node"), "left").select("key", "doc", "own", F.coalesce("root", "key").alias("root"))
-    return prints, told, stash(named, "named")
+    return prints, told, stash_small(named, "named")
 
 
 def similar(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -206,8 +206,8 @@ def similar(docs: DataFrame, words: int = 5) -> DataFrame:
     Texts without words are alike. Rows with a null doc_id join components but name none.
     """
     prints, _, named = _grouped(docs.select("doc_id", "text"), words)
-    least = stash(named.groupBy("root").agg(F.min("doc").alias("component_id")), "least")
-    named = stash(named.join(least, "root").select("key", "component_id"), "named")
+    least = stash_small(named.groupBy("root").agg(F.min("doc").alias("component_id")), "least")
+    named = stash_small(named.join(least, "root").select("key", "component_id"), "named")
     return prints.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
 
 
@@ -218,7 +218,7 @@ def keep_one_alike(docs: DataFrame, words: int = 5) -> DataFrame:
     """
     _, told, named = _grouped(docs, words)
     first = F.min(F.struct(F.col("doc").isNull().alias("void"), "doc", "own", "key")).alias("first")
-    winners = stash(named.groupBy("root").agg(first).select(F.col("first.key").alias("open")), "winners")
+    winners = stash_small(named.groupBy("root").agg(first).select(F.col("first.key").alias("open")), "winners")
     some = _doc_id().isNotNull()
     free = told.where(~some | (F.col("open").isNull() & (F.col("times") == 1)))
     asked = told.where(some & F.col("open").isNotNull()).join(winners, "open", "left_semi")

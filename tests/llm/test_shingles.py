@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from quillon.llm import shingles
+from quillon.llm.shared import scope
 
 
 def brute(rows, words=5, least=0.8):
@@ -70,3 +71,15 @@ def test_copies_go_before_texts_meet(spark):
     _, told, _ = shingles._grouped(docs, 5)
     assert sorted(str(r.own.doc_id) for r in told.collect()) == ["0", "60", "60", "70", "70", "None", "None"]
     assert sorted(str(r.doc_id) for r in shingles.keep_one_alike(docs).collect()) == ["0", "70", "None", "None"]
+
+
+def test_small_tables_are_few_files(spark):
+    """Each file that a task writes costs a process on a local file system."""
+    other = spark.newSession()
+    for k, v in (("spark.sql.shuffle.partitions", "48"), ("spark.sql.adaptive.enabled", "false")):
+        other.conf.set(k, v)
+    docs = other.range(0, 400, 1, 4).selectExpr("id AS doc_id", "concat_ws(' ', sequence(id div 2, id div 2 + 9)) AS text")
+    with scope() as made:
+        assert shingles.similar(docs).where("component_id < doc_id").count() == 200
+        counts = {p.rsplit("/", 1)[1].split("-")[0]: len(other.read.parquet(p).inputFiles()) for p in made}
+    assert counts["named"] <= 6 and counts["risk"] <= 6 and counts["prints"] <= 6  # 48 before
