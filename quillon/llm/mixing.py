@@ -13,7 +13,9 @@ literal arrays, so documents are classified in their scan.
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -38,6 +40,8 @@ DOMAINS = ("clean", "junk", "toxic")
 #: Of what a domain has, where nothing else is asked for.
 SHARES = {"clean": 1.0, "junk": 0.05, "toxic": 0.05}
 CAPITALS, SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "!%$#&*|"
+#: A run of what is neither.
+PLAIN = f"[^{CAPITALS}{SYMBOLS}]+"
 SHAPES = 27
 #: Most languages with weights of their own (the model is a literal; the others use the shared weights); the pseudo-count of a mark.
 LANGUAGES, PSEUDO = 64, 0.3
@@ -51,31 +55,43 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """docs with n_tokens (pieces between spaces), _marks (hashes of the distinct lower-case words and stems) and _shape.
+    """docs with n_tokens (pieces between spaces), _words (distinct, lower-case) and _shape.
 
     The shape is a coarse class of a text's looks: the shares of capitals, of
     symbols and of distinct words, each in three steps. Null texts are empty,
     with no token.
     """
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    n = F.greatest(F.length(t), F.lit(1))
-    without = lambda chars: F.length(F.translate(t, chars, ""))
+    size = F.length(t)
     out = docs.withColumns(
         {
-            "n_tokens": F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long"),
-            "_upper": 1 - without(CAPITALS) / n,
-            "_symbols": 1 - without(SYMBOLS) / n,
+            "n_tokens": F.when(t == "", 0).otherwise(size - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long"),
+            "_size": size,
+            # One pass leaves capitals and symbols, which are few; F.translate looks every letter up in a map.
+            "_odd": F.regexp_replace(t, PLAIN, ""),
             "_words": F.array_distinct(F.split(F.lower(t), MARKS)),
         }
     )
+    odd, symbols, n = F.length("_odd"), F.length(F.regexp_replace("_odd", f"[{CAPITALS}]+", "")), F.greatest(F.col("_size"), F.lit(1))
+    out = out.withColumns({"_upper": 1 - (F.col("_size") - (odd - symbols)) / n, "_symbols": 1 - (F.col("_size") - symbols) / n})
     step = lambda x, low, high: F.when(x > high, 2).when(x > low, 1).otherwise(0)
     fresh = F.size("_words") / F.greatest(F.col("n_tokens"), F.lit(1))
     shape = step(F.col("_upper"), 0.08, 0.3) * 9 + step(F.col("_symbols"), 0.005, 0.03) * 3 + step(fresh, 0.15, 0.35)
-    cut = lambda words, n: F.array_distinct(F.transform(words, lambda w: F.left(w, F.lit(n))))
-    marked = lambda words, n: F.transform(words, lambda w: F.xxhash64(F.lit(n), w))
-    out = out.withColumn("_long", cut("_words", STEMS[1]))
-    hashes = F.concat(F.transform("_words", lambda w: F.xxhash64(w)), marked(cut("_long", STEMS[0]), STEMS[0]), marked("_long", STEMS[1]))
-    return out.withColumns({"_shape": shape, "_marks": hashes}).drop("_upper", "_symbols", "_words", "_long")
+    return out.withColumn("_shape", shape).drop("_size", "_odd", "_upper", "_symbols")
+
+
+def shortest(word: Column) -> Column:
+    """A word's shortest stem, which its longer ones begin with."""
+    return F.left(word, F.lit(min(STEMS)))
+
+
+def stemmed(docs: DataFrame, words: str) -> tuple[DataFrame, dict[str, Callable[[Column], Column]]]:
+    """docs with the distinct stems of a column of words, and by column of words or stems what makes a mark (a hash) of one."""
+    longer = words
+    for n in sorted(STEMS, reverse=True):
+        docs = docs.withColumn(f"_stems{n}", F.array_distinct(F.transform(longer, lambda w: F.left(w, F.lit(n)))))  # noqa: B023
+        longer = f"_stems{n}"
+    return docs, {words: F.xxhash64} | {f"_stems{n}": functools.partial(F.xxhash64, F.lit(n)) for n in STEMS}
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> dict:
@@ -83,7 +99,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> dict:
 
     {"langs": known languages, then for each language, with all of them
     together first: "prior" and "shapes" by domain, "words" by the hash of a
-    word or stem}. Null labels teach nothing; of several labels of one document
+    word or stem; "stems": the shortest stems of all words that have one of
+    those hashes}. Null labels teach nothing; of several labels of one document
     the worst counts. Without labels every posterior is 1 / 3.
     """
     n, parts = labels.count(), 1 << 20
@@ -92,12 +109,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> dict:
     held = held.select("doc_id", domain_of(F.col("q"), F.col("t")).alias("_domain")).where("_domain is not null and doc_id is not null")
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     taught = docs.select("doc_id", "text", lang.alias("_lang")).join(F.broadcast(held), "doc_id")  # bounded by most
-    taught = stash(described(taught).select("_lang", "_domain", "_shape", "_marks"), "taught")
+    taught, kinds = stemmed(described(taught).select("_lang", "_domain", "_shape", "_words"), "_words")
+    taught = stash(taught, "taught")
     cells: dict = {(None, r["_domain"], r["_shape"]): r["n"] for r in taught.groupBy("_domain", "_shape").agg(F.count("*").alias("n")).collect()}
     totals = {None: {d: sum(n for (_, x, _), n in cells.items() if x == d) for d in DOMAINS}}
     every = sum(totals[None].values())
     if not every:
-        return {"langs": [None], "prior": [[0.0] * len(DOMAINS)], "shapes": [[[0.0] * len(DOMAINS)] * SHAPES], "words": {}}
+        return {"langs": [None], "prior": [[0.0] * len(DOMAINS)], "shapes": [[[0.0] * len(DOMAINS)] * SHAPES], "words": {}, "stems": []}
     by_domain = [F.sum((F.col("_domain") == d).cast("long")).alias(d) for d in DOMAINS]
     own = taught.where("_lang is not null").groupBy("_lang").agg(F.count("*").alias("n"), *by_domain).where(F.least(*DOMAINS) >= FEWEST)
     for r in own.orderBy(F.desc("n"), "_lang").limit(LANGUAGES).collect():
@@ -107,7 +125,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> dict:
         for r in taught.where(F.col("_lang").isin(langs[1:])).groupBy("_lang", "_domain", "_shape").agg(F.count("*").alias("n")).collect():
             cells[r["_lang"], r["_domain"], r["_shape"]] = r["n"]
     count = sum((F.col(d) for d in DOMAINS), F.lit(0))
-    by_lang = taught.select("_lang", "_domain", F.explode("_marks").alias("h")).groupBy("_lang", "h")
+    # Words are hashed as rows, in compiled code, not in their arrays.
+    rows = [taught.select("_lang", "_domain", F.explode(c).alias("w")).withColumn("h", mark(F.col("w"))) for c, mark in kinds.items()]
+    marks = functools.reduce(DataFrame.unionAll, rows)
+    by_lang = marks.groupBy("_lang", "h")
     by_lang = stash(by_lang.agg(*[F.sum((F.col("_domain") == d).cast("long")).alias(d) for d in DOMAINS]), "marks")
     each = by_lang.groupBy("h").agg(*[F.sum(d).alias(d) for d in DOMAINS])
     share = {d: (F.col(d) + 0.5) / (totals[None][d] + 1.0) for d in DOMAINS}
@@ -118,11 +139,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> dict:
     least = F.when(share["toxic"] >= F.greatest(*share.values()), SURE_TOXIC).otherwise(SURE)
     best = each.where(clear & (tells > least + math.log(max(1, each.count())))).where("h <> 0").orderBy(F.desc(tells), "h").limit(VOCABULARY).collect()
     df = {(None, r["h"]): [r[d] for d in DOMAINS] for r in best}
+    met = marks.where(F.col("h").isin([r["h"] for r in best])).select(shortest(F.col("w")).alias("stem")).distinct()
+    stems = [r["stem"] for r in met.collect()] if best else []  # at most VOCABULARY
     if best and len(langs) > 1:
         chosen = docs.sparkSession.range(1).select(F.explode(_literal([r["h"] for r in best], "bigint")).alias("h"))
         rows = by_lang.where(F.col("_lang").isin(langs[1:])).join(F.broadcast(chosen), "h")  # VOCABULARY rows
         df |= {(r["_lang"], r["h"]): [r[d] for d in DOMAINS] for r in rows.collect()}  # at most LANGUAGES * VOCABULARY
-    model: dict = {"langs": langs, "prior": [], "shapes": [], "words": {r["h"]: [] for r in best}}
+    model: dict = {"langs": langs, "prior": [], "shapes": [], "words": {r["h"]: [] for r in best}, "stems": sorted(stems)}
     for own in langs:
         have = [totals[own][d] for d in DOMAINS]
         prior = [math.log((x + 1) / (sum(have) + len(DOMAINS))) for x in have]
@@ -157,6 +180,10 @@ def posteriors(docs: DataFrame, model: dict) -> DataFrame:
     place = F.lit(0)
     for k, x in enumerate(langs[1:], 1):
         place = F.when(F.col("lang") == x, k).otherwise(place)
+    # Most words share no stem with a mark: they need no hash.
+    few = F.filter("_words", lambda w: shortest(w).isin(model["stems"]))
+    told, kinds = stemmed(told.withColumn("_few", few), "_few")
+    told = told.withColumn("_marks", F.concat(*[F.transform(c, lambda w: mark(w)) for c, mark in kinds.items()]))  # noqa: B023
     told = told.withColumns({"_at": place, "_found": F.transform(F.filter("_marks", lambda h: F.get(table, slot(h)) == h), lambda h: F.get(numbers, slot(h)))})
     logits = {}
     for k, d in enumerate(DOMAINS):

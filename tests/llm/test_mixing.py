@@ -118,3 +118,35 @@ def test_fit_needs_no_python_workers(spark, monkeypatch):
     monkeypatch.setattr(type(spark), "createDataFrame", refused)
     model = fit(docs, labels)
     assert len(model["langs"]) > 1 and model["words"]  # the words' counts by language, which came by such rows
+
+
+def test_words_without_a_marks_stem_are_not_hashed(spark, sf):
+    def every(df, words):  # the marks of a column of words
+        df, kinds = mixing.stemmed(df, words)
+        return df.select("k", F.explode(F.concat(*[F.transform(c, lambda w: mark(w)) for c, mark in kinds.items()])).alias("h"))  # noqa: B023
+
+    # Marks that are empty, shorter than a stem, as long, longer, and outside the BMP; then ordinary tables.
+    lines = {"clean": "plain words of number {k} alone", "toxic": "!xy {k} \U00020000\U00020001 stem stemming Idiotical"}
+    rows = [(k, lines["toxic" if k % 2 else "clean"].format(k=k)) for k in range(200)]
+    planted = spark.createDataFrame(rows, "doc_id long, text string"), spark.range(200).selectExpr("id AS doc_id", "1 AS quality", "cast(id % 2 AS int) AS toxic")
+    stored = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    for docs, labels in (planted, stored):
+        model = fit(docs, labels)
+        words = mixing.described(docs).select(F.monotonically_increasing_id().alias("k"), "_words")
+        few = words.withColumn("_few", F.filter("_words", lambda w: mixing.shortest(w).isin(model["stems"])))
+        sums = few.agg(F.sum(F.size("_few")).alias("few"), F.sum(F.size("_words")).alias("all")).first()
+        known = lambda df: df.where(F.col("h").isin(list(model["words"])))  # noqa: B023, E731
+        a, b = known(every(words, "_words")), known(every(few.select("k", "_few"), "_few"))
+        assert a.count() > 0 and a.exceptAll(b).count() == b.exceptAll(a).count() == 0
+    assert sums["few"] < 0.1 * sums["all"]  # of the stored documents
+    assert {"", "xy", "\U00020000\U00020001", "stem", "idio"} <= set(fit(*planted)["stems"])
+
+
+@pytest.mark.parametrize("text", ["", "plain", "ABC!%$#&*|xyz", "\u00c4\u00dcA!\U00020000", "A\nB&&C]^-", None])
+def test_shape_counts_capitals_and_symbols(spark, text):
+    row = mixing.described(spark.createDataFrame([(text,)], "text string")).select("_shape").first()
+    t = text or ""
+    n, fresh = max(1, len(t)), len(set(re.split(mixing.MARKS, t.lower()))) / max(1, t.count(" ") + 1 if t else 0)
+    upper, symbols = (1 - sum(c not in s for c in t) / n for s in (mixing.CAPITALS, mixing.SYMBOLS))
+    step = lambda x, a, b: (x > a) + (x > b)
+    assert row[0] == step(upper, 0.08, 0.3) * 9 + step(symbols, 0.005, 0.03) * 3 + step(fresh, 0.15, 0.35)
