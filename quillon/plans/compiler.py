@@ -9,7 +9,9 @@ and window metrics are projections over that.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from decimal import ROUND_HALF_UP, Decimal
 
 from quillon.errors import AccessError, QueryError
 from quillon.functions.dialect import spark_type, to_spark
@@ -18,10 +20,31 @@ from quillon.model.schema import AGGREGATES, Item, Relationship, SemanticView, h
 from quillon.plans.paths import Edge, JoinGraph
 
 
+#: Whole digits that a constant of a decimal type has at least, if its type has them.
+LEAST_WHOLE = 18
+
+
 def quote(name: str) -> str:
     return f"`{name}`"
 
 
+def constant_type(text: str, kind: str) -> str:
+    """The type to write a constant in: a decimal one of its scale, with no more whole digits than LEAST_WHOLE or the value takes.
+
+    Next to NUMBER's 38 whole digits a comparison has no room for fractions: Spark would round 250000.30 to 250000 before it compares.
+    """
+    m = re.fullmatch(r"DECIMAL\((\d+)(?:,(\d+))?\)", kind)
+    if not m:
+        return kind
+    scale = int(m[2] or 0)
+    try:
+        value = Decimal("0" if text.upper() == "NULL" else text.strip("'").replace(" ", ""))
+        digits = value.scaleb(scale).to_integral_value(ROUND_HALF_UP).adjusted() + 1 if value.is_finite() else int(m[1])
+    except ArithmeticError:  # an expression, or no number of any such type
+        digits = int(m[1])
+    return f"DECIMAL({min(int(m[1]), max(LEAST_WHOLE + scale, digits))},{scale})"
+
+
 @dataclass
 class Query:
     dimensions: list[str] = field(default_factory=list)
@@ -74,7 +97,7 @@ class Compiler:
                 text = to_spark(v.default)
             else:
                 raise QueryError(f"variable '{v.name}' is required")
-            self.variables[name] = f"CAST({text} AS {spark_type(v.type)})"
+            self.variables[name] = f"CAST({text} AS {constant_type(text, spark_type(v.type))})"
 
     def entities(self, item: Item, seen: frozenset = frozenset()) -> set[str]:
         """Tables that an item's expression reads, its own among them."""

@@ -122,3 +122,28 @@ def test_entry_points():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_number_variable_rounds_no_column(e):
+    e.spark.createDataFrame([(k, Decimal(x)) for k, x in enumerate(["99.99", "100.00", "100.01", "100.49", "-0.30", "1e15"])], "k int, x decimal(18,2)").createOrReplaceTempView("g_cents")
+    e.deploy("CREATE SEMANTIC VIEW c TABLES (o AS g_cents PRIMARY KEY (k)) FACTS (o.amount AS x) METRICS (o.n AS COUNT(*)) VARIABLES (least NUMBER DEFAULT 100, most NUMBER(38,1) DEFAULT NULL)")
+    ask = lambda where="amount > least", **v: rows(e.query("c", [], ["n"], where=where, variables=v))[0][0]
+    assert [ask(), ask(least=100), ask(least=100.4), ask(least="100"), ask(least=-0.0), ask(least=-1), ask(least=10**15 - 1), ask(least=10**30), ask(least=-(10**30)), ask(least=None)] == [3, 3, 3, 3, 5, 6, 1, 0, 6, 0]
+    assert [ask("amount > least * 2 - 100"), ask("amount > coalesce(most, 100)"), ask("amount < most", most=100), ask("amount IN (least, 7)")] == [3, 3, 2, 1]
+
+
+def test_variable_override_is_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from quillon import catalogue
+
+    (d := tmp_path / "odd").mkdir()
+    for t in catalogue.TABLES:
+        if t != "orders":
+            (d / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    con = duckdb.connect()
+    odd = "(1, 250000.0), (2, 250000.01), (3, 250000.49), (4, 250000.004), (NULL, 300000), (5, 'NaN'), (6, 'Infinity'), (7, '-Infinity'), (8, 1e20), (9, NULL)"
+    con.execute(f"COPY (FROM '/root/testdata/sf0.001/orders.parquet' UNION ALL SELECT k, 1, 'O', CAST(p AS DOUBLE), TIMESTAMP '1996-01-01', CASE WHEN k > 3 THEN 'odd' END FROM (VALUES {odd}) v(k, p)) TO '{d}/orders.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW orders AS FROM '{d}/orders.parquet'")
+    got = catalogue.QUERIES["variable_override"](spark, str(d))
+    assert got.columns == ["priority", "orders_n"]
+    assert rows(got) == sorted(con.execute(catalogue.ORACLES["variable_override"]).fetchall(), key=str)
