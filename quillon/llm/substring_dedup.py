@@ -140,17 +140,17 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 CUT = [("k1", "long", "i8"), ("k2", "long", "i8"), ("first", "int", "i4"), ("n", "int", "i4"), ("g", "long", "i8"), ("d1", "long", "i8"), ("d2", "long", "i8"), ("a", "long", "i8"), ("b", "long", "i8")]
 
 
-def _segments(rows: DataFrame, window: int, columns: list[str] | None = None) -> DataFrame:
-    """k1, k2, text -> k1, k2, first, n, g (smallest hash), d1, d2 (digest), a, b (hashes of the nodes at its ends) of each segment; or these columns alone."""
-    made = [(c, kind, np_kind) for c, kind, np_kind in CUT if columns is None or c in columns]
-    named = any(c in ("a", "b") for c, _, _ in made)
+def _segments(rows: DataFrame, window: int) -> DataFrame:
+    """k1, k2, text -> k1, k2, first, n, g (smallest hash), d1, d2 (digest), a, b (hashes of the nodes at its ends) of each segment; of text alone: g, d1, d2, and nulls for the others."""
+    named = "k1" in rows.columns
+    made = [(c, kind, np_kind) for c, kind, np_kind in CUT if named or c in ("g", "d1", "d2")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
-                k1, k2 = (part.column(c).to_numpy() for c in (0, 1))
-                texts, out = part.column(2).to_pylist(), []
+                k1, k2 = (part.column(c).to_numpy() for c in ("k1", "k2")) if named else (np.zeros(part.num_rows, "i8"),) * 2
+                texts, out = part.column("text").to_pylist(), []
                 for a, b in _groups(texts):
                     own = Words(*texts[a:b])
                     first, count, seed = own.segments(window)
@@ -165,7 +165,8 @@ def _segments(rows: DataFrame, window: int, columns: list[str] | None = None) ->
                     arrays = [pa.array(np.concatenate(x).astype(kind)) for x, (_, _, kind) in zip(zip(*out), made)]
                     yield pa.RecordBatch.from_arrays(arrays, [c for c, _, _ in made])
 
-    return rows.select("k1", "k2", "text").mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind, _ in made))
+    cut = rows.select(*["k1", "k2"] * named, "text").mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind, _ in made))
+    return cut.select(*[c if c in cut.columns else F.lit(None).cast(kind).alias(c) for c, kind, _ in CUT])
 
 
 def _paths(whole: DataFrame) -> DataFrame:
@@ -194,7 +195,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     cut = _segments(rows, window)
     content = F.struct("d1", "d2")
     # Cut once more, without the columns that are not asked for: storing all segments would take more disk than the texts.
-    met = _segments(rows, window, ["g", "d1", "d2"]).groupBy("g").agg(F.count("*").alias("times"), F.min(content).alias("lo"), F.max(content).alias("hi"))
+    met = _segments(rows.select("text"), window).groupBy("g").agg(F.count("*").alias("times"), F.min(content).alias("lo"), F.max(content).alias("hi"))
     met = stash(met.where("times > 1").select("g", (F.col("lo") == F.col("hi")).alias("same")), "met")
     # From here on a row that is repeated is one row with its number of copies.
     columns = ["k1", "k2", "first", "n", "g", "d1", "d2", "a", "b"]
